@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rank_merge, token_store, topk, warc
+from . import packing, ppm, rank_merge, token_store, topk, warc
 from .shared import Scratch, read_table
 
 
@@ -22,6 +22,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(read_table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "warc"), min_bytes=0)
     return warc.read_archives(spark, [f["path"] for f in files]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,6 +64,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_lm_score": op6_lm_score,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_token_store": op10_token_store,
