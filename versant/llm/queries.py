@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, ppm, rank_merge, token_store, topk, warc
+from . import jaccard_join, packing, ppm, rank_merge, token_store, topk, warc
 from .shared import Scratch, read_table
 
 
@@ -26,6 +26,23 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score_documents(read_table(spark, sf_dir, "documents"), modulus=7, remainder=2)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]))
+                               WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS set FROM w),
+     e AS (SELECT doc_id, len(set) AS n, unnest(set) AS shingle FROM s),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+     r AS (SELECT doc_id AS node, doc_id AS far FROM s UNION SELECT r.node, p.y FROM r JOIN p ON r.far = p.x),
+     c AS (SELECT node, min(far) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, len(set)::BIGINT AS n_shingles, component_id FROM s JOIN c ON s.doc_id = c.node
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "warc"), min_bytes=0)
     return warc.read_archives(spark, [f["path"] for f in files]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,9 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_lm_score": op6_lm_score,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}
