@@ -29,3 +29,31 @@ def partition_number() -> int:
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def row_priority(*columns: str):
+    """A number from 0 to 1 for each row, alike in every run over the same files; equal rows differ."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def extended(docs, run_columns: list, new_sql: str, schema_new: pa.Schema, values):
+    """``docs`` with new columns: ``values`` maps a batch of ``run_columns`` to the new arrays, or to
+    them and a mask of the rows to keep.  New columns replace columns of the same name."""
+    names = [f.name for f in schema_new]
+    kept = [c for c in docs.columns if c not in names]
+    n_kept, n_in = len(kept), len(run_columns)
+    inputs = docs.select(*[docs[c] for c in kept], *[c.alias(f"__in_{i}") for i, c in enumerate(run_columns)])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                given = part.select([f"__in_{i}" for i in range(n_in)])
+                arrays, mask = values(given)
+                made = [pa.array(a, type=f.type) for a, f in zip(arrays, schema_new)]
+                whole = pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*kept, *names])
+                yield whole if mask is None else whole.filter(pa.array(mask))
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(kept)]]
+    return inputs.mapInArrow(run, ", ".join([*fields, new_sql] if new_sql else fields))

@@ -8,8 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, packing, ppm, rank_merge, token_store, topk, warc
-from .shared import Scratch, read_table
+from . import decontaminate, jaccard_join, language_id, packing, ppm, quality, rank_merge, token_store, topk, warc
+from .shared import Scratch, id_remainder, read_table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = language_id.fit(docs, ~held_out)
+    return language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs)).drop("text")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +29,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, num=80, den=100)
+
+
+OP4_SQL = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+     w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS words FROM words),
+     s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS shingle FROM w WHERE len(words) >= 5),
+     n AS (SELECT id, count(*) AS item_shingles FROM s WHERE kind = 'b' GROUP BY id),
+     c AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS contained FROM s b JOIN s d ON b.kind = 'b' AND d.kind = 'd' AND b.shingle = d.shingle GROUP BY ALL)
+SELECT doc_id, item_id, contained::BIGINT AS contained, item_shingles::BIGINT AS item_shingles FROM c JOIN n ON c.item_id = n.id WHERE 100 * contained >= 80 * item_shingles
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -79,7 +105,10 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_lm_score": op6_lm_score,
     "op7_jaccard_join": op7_jaccard_join,
@@ -88,4 +117,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_store": op10_token_store,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op7_jaccard_join": OP7_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}

@@ -76,7 +76,7 @@ class Words:
             return mix(np.add.reduceat(terms, self.starts) + self.sizes.astype(np.uint64))
 
 
-def _joined(words: np.ndarray, k: int) -> np.ndarray:
+def joined(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k words in a row, by the place of the first."""
     n = len(words) - k + 1
     if n <= 0:
@@ -91,12 +91,12 @@ def _joined(words: np.ndarray, k: int) -> np.ndarray:
 def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
     """For each row its distinct k-word shingles in ascending order; with fewer words, the whole
     sequence is the one shingle; without words, none."""
-    whole, out = _joined(words.hashes, k), []
+    whole, out = joined(words.hashes, k), []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if b - a >= k:
             out.append(np.unique(whole[a : b - k + 1]))
         else:
-            out.append(_joined(words.hashes[a:b], b - a) if b > a else np.zeros(0, dtype=np.uint64))
+            out.append(joined(words.hashes[a:b], b - a) if b > a else np.zeros(0, dtype=np.uint64))
     return out
 
 
