@@ -1,5 +1,72 @@
-"""placeholder replaced below"""
-STAGES = []
+"""From raw documents to packed sequences: five stages over the table ``documents``.
+
+Each stage works on all that the one before it kept, is written as Parquet and
+read again.  All but the last return the columns of ``documents``.  Documents
+that a stage rejects are gone for the stages after it; the last returns a row
+for each piece of a packed document.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from versant.llm import decontaminate, jaccard_join, language_id, packing, quality
+from versant.llm.shared import Scratch, id_remainder, read_table
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: documents without letters or without a clear language go."""
+    model = language_id.fit(docs, id_remainder("doc_id", 4) != 2)
+    return language_id.identify(docs, model, reject_below=0.3).select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents under its threshold go."""
+    return quality.classify(docs, quality.fit(docs), only_kept=True).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates at 0.8 over five-word shingles: the smallest id of each group stays."""
+    scratch = Scratch(spark, "distinct")
+    links = scratch.table(jaccard_join.link_documents(docs, k=5, num=80, den=100), "links")
+    gone = scratch.table(links.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    if links.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        single = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = single.unionByName(kept.filter("doc_id is null"))
+    return kept
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that contain a test item go."""
+    return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"), k=5, num=80, den=100)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing into sequences of 1024 ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("quality", keep_good),
+    ("jaccard_join", keep_distinct),
+    ("decontaminate", keep_uncontaminated),
+    ("packing", pack),
+]
+
+#: The classifiers and the packing order are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n + 1 < len(STAGES):
+            docs = scratch.table(docs, name)
+    return docs

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
-from .text_arrays import Words, joined, bytes_of, mix
+from .arrow_rows import extended, record, slices
+from .text_arrays import Words, bytes_of, joined, looked_up, mix
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("contained", pa.int64()), ("item_shingles", pa.int64())])
 _SQL = "doc_id long, item_id long, contained long, item_shingles long"
@@ -49,6 +49,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, np.ndarray, int]], permutations: int):
         self.items = items  # (item id, ascending shingles, words in a shingle)
         self.permutations = permutations
+        self._fronts: dict[int, np.ndarray] = {}
         self.lengths = sorted({k for _, _, k in items})
         self.shingles = {k: np.unique(np.concatenate([s for _, s, n in items if n == k])) for k in self.lengths}
         self.partitions: dict[tuple[int, int], dict] = {}
@@ -61,6 +62,13 @@ class ItemIndex:
             order = np.argsort(part["keys"], kind="stable")
             part["keys"], part["numbers"] = part["keys"][order], np.array([n for _, _, n in part["minima"]])[order]
 
+    def front(self, k: int) -> np.ndarray:
+        """Which of the 2^20 leading parts of a hash some item's shingle has; made once in a worker."""
+        if k not in self._fronts:
+            self._fronts[k] = np.zeros(1 << 20, dtype=bool)
+            self._fronts[k][(self.shingles[k] >> np.uint64(44)).astype(np.int64)] = True
+        return self._fronts[k]
+
     def candidates(self, shingles: np.ndarray, hits: np.ndarray, k: int) -> set[int]:
         """Numbers of items that share a minimum with a window of a document; ``hits``: places of
         shingles that some item has."""
@@ -123,43 +131,52 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int =
     return out
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, num: int = 80, den: int = 100, permutations: int = 32, block_items: int = 50_000, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows that contain an item, as ``contaminations`` has it; rows with a null
+    text or id are judged by their text alone.  Without items ``docs`` comes back as it is."""
+    for block in item_blocks(benchmark, k, block_items, item_column, item_text_column):
+        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, permutations))
+
+        def values(given, shared=shared):
+            hit = {row for row, *_ in found_pairs(shared.value, given.column(0), num, den)}
+            return (), [r not in hit for r in range(given.num_rows)]
+
+        docs = extended(docs, [F.coalesce(F.col(text_column).cast("string"), F.lit(""))], "", pa.schema([]), values)
+    return docs
+
+
+def found_pairs(index: ItemIndex, column: pa.Array, num: int, den: int) -> list[tuple[int, int, int, int]]:
+    """(row, item id, contained, shingles of the item) of the contained items of each text."""
+    words, out = plain_words(column), []
+    for k in index.lengths:
+        shingles = joined(words.hashes, k)
+        maybe = np.flatnonzero(index.front(k)[(shingles >> np.uint64(44)).astype(np.int64)])
+        at, known = looked_up(index.shingles[k], shingles[maybe])
+        maybe = maybe[known]
+        owner = np.searchsorted(words.first, maybe, "right") - 1
+        inside = maybe + k <= words.first[owner + 1]
+        maybe, owner = maybe[inside], owner[inside]
+        for row in np.unique(owner).tolist():
+            first, last = int(words.first[row]), int(words.first[row + 1]) - k + 1
+            own = shingles[first:last]
+            hits = maybe[owner == row] - first
+            for number in sorted(index.candidates(own, hits, k)):
+                item, wanted, _ = index.items[number]
+                contained = int(np.isin(wanted, own[hits]).sum())
+                if contained * den >= num * len(wanted):
+                    out.append((row, item, contained, len(wanted)))
+    return out
+
+
 def _search(rows: DataFrame, index: ItemIndex, num: int, den: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index = shared.value
-        front = {k: _front(s) for k, s in index.shingles.items()}
         for batch in batches:
             for part in slices(batch):
-                words, out = plain_words(part.column(1)), []
                 docs = part.column(0).to_pylist()
-                for k in index.lengths:
-                    shingles = joined(words.hashes, k)
-                    maybe = np.flatnonzero(front[k][(shingles >> np.uint64(44)).astype(np.int64)])
-                    table = index.shingles[k]
-                    at = np.searchsorted(table, shingles[maybe])
-                    at[at == len(table)] = 0
-                    maybe = maybe[table[at] == shingles[maybe]]
-                    owner = np.searchsorted(words.first, maybe, "right") - 1
-                    inside = maybe + k <= words.first[owner + 1]
-                    maybe, owner = maybe[inside], owner[inside]
-                    for doc in np.unique(owner).tolist():
-                        first, last = int(words.first[doc]), int(words.first[doc + 1]) - k + 1
-                        own = shingles[first:last]
-                        hits = maybe[owner == doc] - first
-                        for number in sorted(index.candidates(own, hits, k)):
-                            item, wanted, _ = index.items[number]
-                            contained = int(np.isin(wanted, own[hits]).sum())
-                            if contained * den >= num * len(wanted):
-                                out.append((docs[doc], item, contained, len(wanted)))
+                out = [(docs[row], *rest) for row, *rest in found_pairs(shared.value, part.column(1), num, den)]
                 if out:
                     yield record(_FOUND, *zip(*out))
 
     return rows.mapInArrow(run, _SQL)
-
-
-def _front(shingles: np.ndarray) -> np.ndarray:
-    """Which of the 2^20 leading parts of a hash occur."""
-    out = np.zeros(1 << 20, dtype=bool)
-    out[(shingles >> np.uint64(44)).astype(np.int64)] = True
-    return out

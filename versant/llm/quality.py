@@ -20,6 +20,9 @@ from .arrow_rows import extended, record, row_priority, slices
 from .text_arrays import Words, bytes_of
 
 GOOD, NONE, BAD = 2, 1, 0
+#: A labeller is taken to alarm on no more than this share of good texts; it keeps the two classes
+#: from changing places where one kind of bad text has a single labeller of its own.
+FALSE_ALARMS = 0.0005
 LABELLERS = ("symbols", "capitals", "marks", "repeats", "word length", "sentences", "letters")
 
 _SHORT = 400
@@ -132,6 +135,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Lab
         weight = np.stack([counts * (1 - p), counts * p])
         table = np.stack([[[(weight[c] * (patterns[:, j] == v)).sum() + 1.0 for v in range(3)] for j in range(patterns.shape[1])] for c in range(2)])
         table /= table.sum(axis=2, keepdims=True)
+        alarms = np.minimum(table[1, :, BAD], FALSE_ALARMS)
+        table[1] *= ((1 - alarms) / (1 - table[1, :, BAD]))[:, None]
+        table[1, :, BAD] = alarms
         model = LabelModel(float(np.clip(weight[1].sum() / max(weight.sum(), 1e-9), 1e-3, 1 - 1e-3)), table)
         p = model.posterior(patterns)
     return model
