@@ -48,8 +48,10 @@ _UNCOUNTED = 8
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _SCAN_SQL = "doc_id long, n long, key binary, bucket int, keys binary, counts binary"
-_POSTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("shingles", pa.binary()), ("posts", pa.list_(pa.int64()))])
-_POSTED_SQL = "doc_id long, n long, key binary, shingles binary, posts array<long>"
+_POSTED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64()))])
+_POSTED_SQL = "doc_id long, key binary, posts array<long>"
+_SETS = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+_SETS_SQL = "group long, node long, n long, shingles binary"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -122,7 +124,7 @@ def scan(docs: DataFrame, k: int, buckets: int, hold: int = 2_000_000) -> DataFr
 
 
 def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: tuple[np.ndarray, np.ndarray], known_from: int) -> DataFrame:
-    """Second pass: the keys of each document, with its set.  Shingles that are counted and have but
+    """Second pass: the keys of each document.  Shingles that are counted and have but
     one document are in no list of two, and documents without other keys give no row."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -149,13 +151,29 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
                 rows = []
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(Words(part.column(1)), k)):
                     if doc is not None and len(s) and (posts := keys_of(s, find, seen)):
-                        rows.append((doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), s.tobytes(), np.array(posts, dtype=np.uint64).view(np.int64)))
+                        rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), np.array(posts, dtype=np.uint64).view(np.int64)))
                 if rows:
                     yield record(_POSTED, *zip(*rows))
 
     return docs.mapInArrow(run, _POSTED_SQL)
 
 
+def sets_of(docs: DataFrame, k: int) -> DataFrame:
+    """Third pass, over the texts of group members (group, node, key, text): their sets."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for group, node, key, s in zip(*(c.to_pylist() for c in part.columns[:3]), shingle_sets(Words(part.column(3)), k)):
+                    if xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another text under the same id
+                        rows.append((group, node, len(s), s.tobytes()))
+                if rows:
+                    yield record(_SETS, *zip(*rows))
+
+    return docs.select("group", "node", "key", "text").mapInArrow(run, _SETS_SQL)
+
+
 class Forest:
     """Union by smaller number, over 0..n-1."""
 
@@ -275,18 +293,18 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     classes = scratch.table(classes, "classes")
     one = classes.select(F.col("key").alias("class_key"), "node")
-    nodes = scratch.table(posted.join(one, (posted["doc_id"] == one["node"]) & (posted["key"] == one["class_key"])).select("node", "n", "shingles", "posts"), "nodes")
+    mine = posted.join(one, (posted["doc_id"] == one["node"]) & (posted["key"] == one["class_key"]))
+    entries = scratch.table(mine.select("node", F.explode("posts").alias("post")), "entries")
     scratch.drop("totals", "posted")
-
-    entries = scratch.table(nodes.select("node", F.explode("posts").alias("post")), "entries")
     hubs = scratch.table(entries.groupBy("post").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select(F.col("post").alias("hub_post"), "hub"), "hubs")
     stars = entries.join(hubs, entries["post"] == hubs["hub_post"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     groups = scratch.table(connected_components(stars, scratch, "groups").withColumnRenamed("component", "group"), "groups")
     scratch.drop("entries", "hubs")
 
-    found = groups.withColumnRenamed("node", "group_node")
-    grouped = scratch.table(nodes.select("node", "n", "shingles").join(found, nodes["node"] == found["group_node"]).select("group", "node", "n", "shingles"), "grouped")
-    scratch.drop("nodes", "groups")
+    keyed = groups.join(classes.withColumnRenamed("node", "class_node"), F.col("node") == F.col("class_node")).select("group", "node", "key")
+    keyed = scratch.table(keyed, "keyed")
+    grouped = scratch.table(sets_of(rows.join(keyed, rows["doc_id"] == keyed["node"]), k), "grouped")
+    scratch.drop("groups", "keyed")
     weights = scratch.table(grouped.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).cast("int").alias("blocks"), F.sum("n").alias("weight")), "weights")
     small = weights.filter("blocks = 1").agg(F.sum("weight")).first()[0] or 0
     packs = max(4 * buckets, -(-small // tile_shingles))
