@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 #: Bytes of text that are turned into Python objects at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int = -1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
