@@ -1 +1 @@
-""""""
+"""Readers of corpora, recordings and earlier runs."""
