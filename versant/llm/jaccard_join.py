@@ -11,7 +11,8 @@ are found through keys that two linked sets must share:
   shingles two linked sets share one of their first n - ceil(t n) + 1.  The
   order is by number of documents, rarest first, as far as counts are at hand:
   all documents are counted for a fixed part of the hash space, and the
-  commonest shingles of it, up to a stated number, are known to every task.
+  commonest shingles of it, up to a stated number, are known to every task
+  (32 bits of their hash and a count up to 255; a chance meeting of two costs work, never a link).
 * The boundary is the size at which the measured cost of the two ways is least.
   Sets just below it do both, so that they meet heavy partners.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .arrow_rows import record, slices
 from .components import connected_components
 from .shared import Scratch
-from .tallies import count_histogram, gathered, packed_rows, threshold_for, total_tallies
+from .tallies import count_histogram, gathered_short, packed_rows, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, merged_counts, mix, shingle_sets, summed
 
 #: Part of the hash space of shingles, from 0, for which documents are counted.
@@ -135,7 +136,7 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
         if n * den >= light_below * num:
             counted = int(np.searchsorted(shingles, _COUNTED))
             rank = np.full(n, _UNCOUNTED, dtype=np.int64)
-            at, found = find(shingles[:counted])
+            at, found = find((shingles[:counted] >> np.uint64(30)).astype(np.uint32))
             rank[:counted] = np.where(found, seen[at], 1) if len(seen) else 1
             first = np.argsort(rank, kind="stable")[: prefix_length(n, num, den)]
             if known_from <= 2:
@@ -262,7 +263,7 @@ def solve_tile(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}, schema=_EDGES)
 
 
-def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 2_000_000, tile_shingles: int = 1 << 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 8_000_000, tile_shingles: int = 1 << 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when the Jaccard similarity of
     their sets of k-word shingles is num / den or more; component_id is the smallest id reachable.
 
@@ -283,13 +284,13 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     totals = scratch.table(total_tallies(scanned.filter("bucket is not null").select("bucket", "keys", "counts"), buckets, least=2), "totals")
     seen = count_histogram(totals)
     known_from = threshold_for(seen, max_known, least=2)
-    keys, counts = gathered(totals, known_from)
+    keys, counts = gathered_short(totals, known_from)
     sizes = {r["n"]: r["rows"] for r in members.filter("n between 1 and 64").groupBy("n").agg(F.count("*").alias("rows")).collect()}
     listed = sum(c * n for c, n in seen.items())
     list_cost = max(1.0, sum(min(c, 1 << 20) ** 2 * n for c, n in seen.items()) / listed) if listed else 1.0
     light_below = boundary(sizes, list_cost, num, den)
 
-    posted = scratch.table(post(rows, k, num, den, light_below, (keys >> np.uint64(2), counts), known_from), "posted")
+    posted = scratch.table(post(rows, k, num, den, light_below, (keys, counts), known_from), "posted")
     classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
     classes = scratch.table(classes, "classes")
     one = classes.select(F.col("key").alias("class_key"), "node")

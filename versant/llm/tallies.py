@@ -118,3 +118,28 @@ def gathered(totals: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
     counts = [np.frombuffer(r["counts"], "<u8").astype(np.int64) for r in rows]
     return (np.concatenate(keys), np.concatenate(counts)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def gathered_short(totals: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``gathered`` in 5 bytes a key: the leading 32 bits of the keys, ascending and distinct, and
+    the highest count of each, 255 at most."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(counts, "<u8")
+                keep = counts >= least
+                keys, counts = (np.frombuffer(keys, "<u8")[keep] >> np.uint64(32)).astype("<u4"), np.minimum(counts[keep], 255).astype("u1")
+                starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+                most = np.maximum.reduceat(counts, starts) if len(keys) else counts
+                yield record(PACKED, [bucket], [keys[starts].tobytes()], [most.tobytes()])
+
+    rows = sorted(totals.mapInArrow(run, PACKED_SQL).collect(), key=lambda r: r.bucket)
+    if not rows:
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+    keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
+    counts = np.concatenate([np.frombuffer(r["counts"], "u1") for r in rows])
+    if len(keys) and (keys[1:] == keys[:-1]).any():  # a key cut by the edge of two buckets
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, counts = keys[starts], np.maximum.reduceat(counts, starts)
+    return keys, counts

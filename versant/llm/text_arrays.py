@@ -117,6 +117,7 @@ def looked_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Place of each key in a sorted table, and whether it is there."""
     if not len(table):
         return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    keys = keys.astype(table.dtype, copy=False)
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
     return at, table[at] == keys
