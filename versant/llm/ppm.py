@@ -87,7 +87,7 @@ class Trie:
             contexts, starts = np.unique(strings >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, starts) if len(starts) else counts
             kinds = np.diff(np.append(starts, len(strings)))
-            self.levels.insert(0, Level(strings, counts, contexts, total, kinds))
+            self.levels.insert(0, Level(strings, counts, contexts, total, kinds.astype(np.int32)))
             if k:
                 strings, counts = summed(strings & np.uint64((1 << 8 * k) - 1), counts)
         # for each context of order k > 0: how often its successors follow its suffix
@@ -97,7 +97,7 @@ class Trie:
             at, _ = looked_up(below.strings, level.strings & np.uint64((1 << 8 * k) - 1))
             starts = np.searchsorted(level.strings >> np.uint64(8), level.contexts)
             self.ruled_out.append(np.add.reduceat(below.counts[at], starts) if len(starts) else below.counts[:0])
-        self.logs = self.log10(self.levels[order].strings)
+        self.logs = self.log10(self.levels[order].strings).astype(np.float32)
 
     def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
         """log10 probabilities by way of those of the longest strings, which most lookups find."""
@@ -106,7 +106,7 @@ class Trie:
 
         def score(strings: np.ndarray) -> np.ndarray:
             at, known = find(strings)
-            out = self.logs[at] if len(self.logs) else np.zeros(len(strings))
+            out = self.logs[at].astype(np.float64) if len(self.logs) else np.zeros(len(strings))
             rest, back = np.unique(strings[~known], return_inverse=True)
             out[~known] = self.log10(rest)[back]
             return out
@@ -142,7 +142,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", p
 _SCORED_SQL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail binary, tail_n binary"
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = 5, max_grams: int = 2_000_000, max_words: int = 1_000_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = 5, max_grams: int = 1_000_000, max_words: int = 500_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Rows with crc32(id) mod ``modulus`` = ``remainder`` are held out of all counts.  ``base_score``
@@ -167,7 +167,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
         yield grams(*normalized(Words(part.column(part.num_columns - 1)), order), order)
 
     words = scratch.table(total_tallies(partial_tallies(training, word_keys, buckets), buckets), "words")
-    strings = scratch.table(total_tallies(partial_tallies(training, gram_keys, buckets), buckets), "strings")
+    strings = scratch.table(total_tallies(partial_tallies(training, gram_keys, buckets, slice_bytes=2 << 20), buckets), "strings")
     histogram, deep = count_histogram(words), count_histogram(strings)
     n_rows = training.count()
     totals = words.mapInArrow(_sums, "n long, v long").groupBy().sum("n", "v").first()

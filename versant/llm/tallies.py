@@ -30,7 +30,7 @@ def packed_rows(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[
             yield b, keys[i:j].astype("<u8").tobytes(), counts[i:j].astype("<u8").tobytes()
 
 
-def partial_tallies(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], buckets: int, slice_bytes: int = 4 << 20, hold: int = 1_500_000) -> DataFrame:
+def partial_tallies(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], buckets: int, slice_bytes: int = 4 << 20, hold: int = 1_000_000) -> DataFrame:
     """Packed counts of each task.  ``keys_of`` gives arrays of unsigned 64-bit keys of some rows,
     text in their last column; counts are held back until ``hold`` distinct keys have come together."""
 
