@@ -6,6 +6,8 @@ reach into scans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column | str) -> Column:
     """Folds letter forms, drops marks and punctuation, leaves single spaces; null counts as empty."""
     folded = F.translate(F.coalesce(_c(text), F.lit("")), *LETTER_FORMS)
@@ -57,9 +64,12 @@ def first_words(text: Column | str, n: Column | int) -> Column:
 
 
 def last_words(text: Column | str, n: int) -> Column:
-    found = normalized_words(text)
-    taken = F.least(F.lit(n), F.size(found))
-    return F.when(taken > 0, F.array_join(F.slice(found, -taken, taken), " ")).otherwise("")
+
+    def of(found: Column) -> Column:
+        taken = F.least(F.lit(n), F.size(found))
+        return F.when(taken > 0, F.array_join(F.slice(found, -taken, taken), " ")).otherwise("")
+
+    return let(normalized_words(text), of)
 
 
 def first_last_words(text: Column | str, n: int) -> Column:
@@ -68,14 +78,17 @@ def first_last_words(text: Column | str, n: int) -> Column:
 
 def coverage_ratio(text: Column | str, reference: Column | str) -> Column:
     """Words of the text for each word of the reference; 0 where the reference has none."""
-    wanted = word_count(reference)
-    return F.when(wanted > 0, word_count(text) / wanted).otherwise(0.0)
+    return let(word_count(reference), lambda wanted: F.when(wanted > 0, word_count(text) / wanted).otherwise(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if either is empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / either).otherwise(0.0)
+
+    def of(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).otherwise(0.0)
+
+    return let(F.struct(a.alias("x"), b.alias("y")), of)
 
 
 def word_jaccard(a: Column | str, b: Column | str) -> Column:
@@ -84,7 +97,8 @@ def word_jaccard(a: Column | str, b: Column | str) -> Column:
 
 def bigrams(text: Column) -> Column:
     empty = F.array().cast("array<string>")
-    return F.when(F.length(text) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substring(text, i, 2)))).otherwise(empty)
+    places = lambda t: F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1)))
+    return let(text, lambda t: F.when(F.length(t) >= 2, F.array_distinct(F.transform(places(t), lambda i: F.substring(t, i, 2)))).otherwise(empty))
 
 
 def bigram_jaccard(a: Column | str, b: Column | str) -> Column:
@@ -97,23 +111,28 @@ def multiset_append(first: Column | str, second: Column | str) -> Column:
     A word of the second is dropped while the first holds an occurrence of its normal form that no
     earlier word of the second has taken.
     """
-    a, b = normalized_words(first), words(second)
-    forms = F.transform(b, normalize)
 
-    def kept(w: Column, i: Column) -> Column:
-        form = F.get(forms, i)
-        before = F.size(F.filter(F.slice(forms, 1, i + 1), lambda x: x == form))
-        return before > F.size(F.filter(a, lambda x: x == form))
+    def kept(p: Column) -> Column:
+        def stays(w: Column, i: Column) -> Column:
+            form = F.get(p["forms"], i)
+            before = F.size(F.filter(F.slice(p["forms"], 1, i + 1), lambda x: x == form))
+            return before > F.size(F.filter(p["a"], lambda x: x == form))
+
+        return F.struct(F.filter(p["b"], stays).alias("rest"), F.size(p["b"]).alias("n"))
+
+    def merged(p: Column) -> Column:
+        lead = F.trim(F.coalesce(_c(first), F.lit("")))
+        none, n = F.size(p["rest"]) == 0, F.size(p["rest"])
+        text = F.when(none, lead).otherwise(F.concat(lead, F.lit(" "), F.array_join(p["rest"], " ")))
+        return F.struct(text.alias("merged"), (none | (n < p["n"])).alias("overlap"))
 
-    rest = F.filter(b, kept)
-    lead = F.trim(F.coalesce(_c(first), F.lit("")))
-    merged = F.when(F.size(rest) == 0, lead).otherwise(F.concat(lead, F.lit(" "), F.array_join(rest, " ")))
-    return F.struct(merged.alias("merged"), (F.size(rest) == 0) | (F.size(rest) < F.size(b)).alias("overlap"))
+    split = let(words(second), lambda b: F.struct(normalized_words(first).alias("a"), b.alias("b"), F.transform(b, normalize).alias("forms")))
+    return let(let(split, kept), merged)
 
 
 def segment_type(kind: Column | str, text: Column | str) -> Column:
     """The type by its column if that names a formula, else by the text, basmala before istiadha."""
-    plain = normalize(text)
+    plain = normalize(text)  # at most twice
     return F.when(_c(kind).isin("basmala", "basmalah"), "basmala").when(_c(kind) == "istiadha", "istiadha").when(plain.rlike(BASMALA), "basmala").when(plain.rlike(ISTIADHA), "istiadha")
 
 
@@ -133,8 +152,7 @@ def group_number(path: Column | str) -> Column:
 
 def has_required(text: Column | str, tokens: Column) -> Column:
     """Whether every token is part of the normalised text."""
-    plain = normalize(text)
-    return F.forall(tokens, lambda t: F.contains(plain, t))
+    return let(normalize(text), lambda plain: F.forall(tokens, lambda t: F.contains(plain, t)))
 
 
 def quality_bucket(score: Column | str) -> Column:

@@ -18,14 +18,14 @@ def metadata(formatted: DataFrame, *keys: str) -> DataFrame:
     """Counts and means of formatted rows, overall or for each key; zeros without rows."""
     total = F.sum(F.col("duration").cast("decimal(18,2)"))
     mean = F.sum(F.col("similarity_score").cast("decimal(18,3)")) / F.count("*")
-    aggregates = [F.count("*").alias("total_units"), F.coalesce(total, F.lit(0)).cast("double").alias("total_duration"), F.coalesce(F.round(mean.cast("double"), 3), F.lit(0.0)).alias("avg_similarity"), F.coalesce(F.count_if("is_high_confidence"), F.lit(0)).alias("high_confidence")]
+    aggregates = [F.count("*").alias("total_units"), F.coalesce(total, F.lit(0)).cast("double").alias("total_duration"), F.coalesce(F.round(mean, 3).cast("double"), F.lit(0.0)).alias("avg_similarity"), F.coalesce(F.count_if("is_high_confidence"), F.lit(0)).alias("high_confidence")]
     return formatted.groupBy(*keys).agg(*aggregates)
 
 
 def alignment_stats(rows: DataFrame, score: str = "score", overlap: Column | None = None, *keys: str) -> DataFrame:
     """Units, mean and least score, overlaps; zeros without rows."""
     mean = F.sum(F.col(score).cast("decimal(18,4)")) / F.count("*")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_units"), F.coalesce(F.round(mean.cast("double"), 4), F.lit(0.0)).alias("avg_score"), F.coalesce(F.min(score), F.lit(0.0)).alias("min_score"), F.count_if(overlap if overlap is not None else F.lit(False)).alias("n_overlaps"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_units"), F.coalesce(F.round(mean, 4).cast("double"), F.lit(0.0)).alias("avg_score"), F.coalesce(F.min(score), F.lit(0.0)).alias("min_score"), F.count_if(overlap if overlap is not None else F.lit(False)).alias("n_overlaps"))
 
 
 def source_counts(rows: DataFrame, source: str) -> DataFrame:
@@ -41,7 +41,7 @@ def recording_stats(rows: DataFrame, key: str, score: str = "score") -> DataFram
     """For each recording: units, mean score, share of confident units in percent."""
     mean = F.sum(F.col(score).cast("decimal(18,4)")) / F.count("*")
     confident = F.count_if(F.col(score) >= HIGH_CONFIDENCE)
-    return rows.groupBy(key).agg(F.count("*").alias("n_units"), F.round(mean.cast("double"), 4).alias("avg_score"), confident.alias("high_confidence"), F.round(100.0 * confident / F.count("*"), 4).alias("pct_high"))
+    return rows.groupBy(key).agg(F.count("*").alias("n_units"), F.round(mean, 4).cast("double").alias("avg_score"), confident.alias("high_confidence"), F.round(100.0 * confident / F.count("*"), 4).alias("pct_high"))
 
 
 def batch_rollup(stats: DataFrame, key: str) -> DataFrame:
@@ -49,7 +49,7 @@ def batch_rollup(stats: DataFrame, key: str) -> DataFrame:
     mean = F.sum(F.col("avg_score").cast("decimal(18,4)")) / F.count("*")
     best = F.max_by(key, F.struct(F.col("avg_score"), -F.col(key)))
     worst = F.min_by(key, F.struct(F.col("avg_score"), F.col(key)))
-    return stats.agg(F.count("*").alias("n_recordings"), F.sum("n_units").alias("n_units"), F.round(mean.cast("double"), 4).alias("avg_score"), best.alias("best"), worst.alias("worst"))
+    return stats.agg(F.count("*").alias("n_recordings"), F.sum("n_units").alias("n_units"), F.round(mean, 4).cast("double").alias("avg_score"), best.alias("best"), worst.alias("worst"))
 
 
 def unit_confidence(words: DataFrame, keys: list[str], order: str, confidence: str, start: str, end: str) -> DataFrame:
