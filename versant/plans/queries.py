@@ -363,10 +363,10 @@ def overlap_repair(spark, sf):
 
 
 @query(f"""WITH {RESULTS_SQL}, g AS (SELECT *, start_s - lag(end_s) OVER w AS b, lead(start_s) OVER w - end_s AS a FROM res WINDOW w AS (PARTITION BY user_id ORDER BY unit_no))
-SELECT user_id, unit_no, (CASE WHEN b > 0 THEN start_s - CASE WHEN b <= 0.3 THEN least(b, 0.1::DOUBLE) WHEN b >= 0.4 THEN 0.2::DOUBLE ELSE b / 2 END ELSE start_s END)::DECIMAL(18,6)::DOUBLE AS buffered_start,
-(CASE WHEN a > 0 THEN end_s + CASE WHEN a <= 0.3 THEN a - least(a, 0.1::DOUBLE) WHEN a >= 0.4 THEN a - 0.2::DOUBLE ELSE a / 2 END ELSE end_s END)::DECIMAL(18,6)::DOUBLE AS buffered_end FROM g""")
+SELECT user_id, unit_no, (CASE WHEN b > 0 THEN start_s - CASE WHEN b <= 0.3 THEN least(b, 0.1::DOUBLE) WHEN b >= 0.4 THEN 0.2::DOUBLE ELSE b / 2 END ELSE start_s END)::DOUBLE AS buffered_start,
+(CASE WHEN a > 0 THEN end_s + CASE WHEN a <= 0.3 THEN a - least(a, 0.1::DOUBLE) WHEN a >= 0.4 THEN a - 0.2::DOUBLE ELSE a / 2 END ELSE end_s END)::DOUBLE AS buffered_end FROM g""")
 def gap_buffers(spark, sf):
-    return boundaries.apply_buffers(results(spark, sf), "user_id", "unit_no").select("user_id", "unit_no", F.col("buffered_start").cast("decimal(18,6)").cast("double").alias("buffered_start"), F.col("buffered_end").cast("decimal(18,6)").cast("double").alias("buffered_end"))
+    return boundaries.apply_buffers(results(spark, sf), "user_id", "unit_no").select("user_id", "unit_no", "buffered_start", "buffered_end")
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q FROM lineitem),
