@@ -45,3 +45,52 @@ def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silence
             yield pd.DataFrame(out, columns=["recording", "unit_no", "start_s", "end_s", "text", "score", "overlap", "source"])
 
     return joined.mapInPandas(run, RESULT)
+
+
+def _per_recording(left: DataFrame, right: DataFrame, left_fields: list[str], right_fields: list[str], solver, schema: str) -> DataFrame:
+    """Runs ``solver(rows of left, rows of right)`` for each recording; it gives tuples behind the recording."""
+    a = left.groupBy("recording").agg(F.sort_array(F.collect_list(F.struct(*left_fields))).alias("a"))
+    b = right.groupBy(F.col("recording").alias("_r")).agg(F.sort_array(F.collect_list(F.struct(*right_fields))).alias("b"))
+    joined = a.join(b, F.col("recording") == F.col("_r"), "left").select("recording", "a", "b")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r, *x) for r, mine, other in zip(pdf["recording"], pdf["a"], pdf["b"]) for x in solver(list(mine), list(other) if other is not None else [])]
+            yield pd.DataFrame(out, columns=names)
+
+    return joined.mapInPandas(run, schema)
+
+
+def match_words(reference: DataFrame, heard: DataFrame) -> DataFrame:
+    """Each reference word (recording, word_idx, word) with the heard word it is matched with, in order; null if none."""
+
+    def solver(a, b):
+        found = solve.align_sequences([x["word"] for x in a], [x["word"] for x in b])
+        return [(x["word_idx"], None if j is None else b[j]["word_idx"]) for x, j in zip(a, found)]
+
+    fields = ["word_idx", "word"]
+    return _per_recording(reference, heard, fields, fields, solver, "recording long, word_idx long, heard_idx double").withColumn("heard_idx", F.when(~F.isnan("heard_idx"), F.col("heard_idx")).cast("long"))
+
+
+def claim_breaths(segments: DataFrame, breaths: DataFrame) -> DataFrame:
+    """Each segment (recording, seg_idx, end_s) with the nearest breath (start_sec, end_sec) that none before it
+    took: pause_duration, 0 without one, and is_breath_boundary."""
+
+    def solver(a, b):
+        found = solve.claim_breaths([x["end_s"] for x in a], [(x["start_sec"], x["end_sec"]) for x in b])
+        return [(x["seg_idx"], 0.0 if j is None else b[j]["end_sec"] - b[j]["start_sec"], j is not None) for x, j in zip(a, found)]
+
+    return _per_recording(segments, breaths, ["seg_idx", "end_s"], ["start_sec", "end_sec"], solver, "recording long, seg_idx long, pause_duration double, is_breath_boundary boolean")
+
+
+def snap_boundaries(rows: DataFrame, targets: DataFrame, to: str = "silences") -> DataFrame:
+    """Moves borders of (recording, unit_no, start_s, end_s) to silences (a, b: start and end) or to quiet frames
+    (a, b: time and energy); a moved start counts for the next border, hence one pass over each recording."""
+    move = {"silences": solve.snap_to_silences, "energy": solve.snap_to_energy}[to]
+
+    def solver(a, b):
+        given = [solve.Row(solve.Unit(int(x["unit_no"]), ""), x["start_s"], x["end_s"], "", 0.0) for x in a]
+        return [(r.unit.number, r.start, r.end) for r in move(given, [(x["a"], x["b"]) for x in b])]
+
+    return _per_recording(rows, targets, ["unit_no", "start_s", "end_s"], ["a", "b"], solver, "recording long, unit_no long, start_s double, end_s double")

@@ -521,3 +521,38 @@ def _aligned(strategy: str, **options):
 
 for _name, _options in {"align_dp": ("dp", {}), "align_greedy": ("greedy", {}), "align_hybrid": ("hybrid", {}), "align_words": ("words", {}), "align_raw": ("dp", {"fix_drift": False, "snap_energy": False, "snap_silence": False, "repair": False})}.items():
     QUERIES[_name] = _aligned(_options[0], **_options[1])
+
+
+@query()
+def word_gap_smoothing(spark, sf):
+    words = boundaries.word_stream(segments(spark, sf).withColumn("text", F.substring("text", 1, 60)), ["recording", "seg_idx"], "text", "start_s", "end_s")
+    numbered = words.select("recording", (F.col("seg_idx") * 1000 + F.col("word_idx")).alias("place"), F.col("seg_idx").alias("unit"), F.col("word_start").alias("s"), F.col("word_end").alias("e"))
+    return boundaries.smooth_gaps(numbered, "recording", "place", "unit", "s", "e", F.lit(0.0))
+
+
+@query()
+def match_words(spark, sf):
+    words = boundaries.word_stream(segments(spark, sf).withColumn("text", F.substring("text", 1, 60)), ["recording", "seg_idx"], "text", "start_s", "end_s")
+    placed = words.select("recording", (F.col("seg_idx") * 1000 + F.col("word_idx")).cast("long").alias("word_idx"), "word")
+    return alignment.match_words(placed.filter("word_idx % 3 <> 0"), placed.filter("word_idx % 4 <> 1"))
+
+
+@query()
+def claim_breaths(spark, sf):
+    ends = results(spark, sf).select(F.col("user_id").alias("recording"), F.col("unit_no").alias("seg_idx"), "end_s")
+    quiet = silences(spark, sf).select(F.col("user_id").alias("recording"), F.col("silence_start").alias("start_sec"), F.col("silence_end").alias("end_sec"))
+    return alignment.claim_breaths(ends, quiet)
+
+
+@query()
+def snap_silences(spark, sf):
+    rows = results(spark, sf).select(F.col("user_id").alias("recording"), "unit_no", "start_s", "end_s")
+    quiet = silences(spark, sf).select(F.col("user_id").alias("recording"), F.col("silence_start").alias("a"), F.col("silence_end").alias("b"))
+    return alignment.snap_boundaries(rows, quiet, "silences")
+
+
+@query()
+def snap_energy(spark, sf):
+    rows = results(spark, sf).select(F.col("user_id").alias("recording"), "unit_no", "start_s", "end_s")
+    frames_ = frame_rows(spark, sf).select(F.col("user_id").alias("recording"), (F.col("t") * 12).alias("a"), F.col("rms").alias("b"))
+    return alignment.snap_boundaries(rows, frames_, "energy")
