@@ -27,6 +27,7 @@ A tile gives a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import comb
 
@@ -51,9 +52,12 @@ _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary(
 _SCAN_SQL = "doc_id long, n long, key binary, bucket int, keys binary, counts binary"
 _POSTED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64()))])
 _POSTED_SQL = "doc_id long, key binary, posts array<long>"
-_SETS = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
-_SETS_SQL = "group long, node long, n long, shingles binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
+_SETS_SQL = "doc_id long, key binary, n long, shingles binary"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_BITS = pa.schema([("bits", pa.binary())])
+#: Most bits of the filter of group members, whatever their number.
+_MOST_BITS = 1 << 27
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -159,20 +163,45 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
     return docs.mapInArrow(run, _POSTED_SQL)
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """Third pass, over the texts of group members (group, node, key, text): their sets."""
+def member_filter(members: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of hashed ids, 64 bits for each up to a fixed size; it lets through all members and,
+    the more there are, the more others, which the join that follows sorts out."""
+    bits = 1 << 16
+    while bits < min(64 * members.count(), _MOST_BITS):
+        bits *= 2
+
+    def run(batches):
+        mine = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            mine[_places(batch.column(0).to_numpy(), bits)] = True
+        yield record(_BITS, [zlib.compress(np.packbits(mine).tobytes(), 1)])
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for row in members.select(column).coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return out
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def sets_of(docs: DataFrame, k: int, members: np.ndarray) -> DataFrame:
+    """Third pass: the sets of the documents that the filter lets through."""
+    shared = docs.sparkSession.sparkContext.broadcast(members)
 
     def run(batches):
+        chosen = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for group, node, key, s in zip(*(c.to_pylist() for c in part.columns[:3]), shingle_sets(Words(part.column(3)), k)):
-                    if xxhash.xxh3_128_digest(s.tobytes()) == key:  # else another text under the same id
-                        rows.append((group, node, len(s), s.tobytes()))
-                if rows:
-                    yield record(_SETS, *zip(*rows))
+                ids = part.column(0)
+                may = chosen[_places(ids.fill_null(0).to_numpy(), len(chosen))] & ids.is_valid().to_numpy(zero_copy_only=False)
+                part = part.filter(pa.array(may))
+                if part.num_rows:
+                    sets = shingle_sets(Words(part.column(1)), k)
+                    yield record(_SETS, part.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
 
-    return docs.select("group", "node", "key", "text").mapInArrow(run, _SETS_SQL)
+    return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
 
 
 class Forest:
@@ -304,7 +333,11 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
 
     keyed = groups.join(classes.withColumnRenamed("node", "class_node"), F.col("node") == F.col("class_node")).select("group", "node", "key")
     keyed = scratch.table(keyed, "keyed")
-    grouped = scratch.table(sets_of(rows.join(keyed, rows["doc_id"] == keyed["node"]), k), "grouped")
+    found = sets_of(rows, k, member_filter(keyed, "node"))
+    # an id may stand for several texts; the key tells which of them is the member
+    mine = keyed.withColumnRenamed("key", "member_key")
+    grouped = found.join(mine, (found["doc_id"] == mine["node"]) & (found["key"] == mine["member_key"])).select("group", "node", "n", "shingles")
+    grouped = scratch.table(grouped, "grouped")
     scratch.drop("groups", "keyed")
     weights = scratch.table(grouped.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).cast("int").alias("blocks"), F.sum("n").alias("weight")), "weights")
     small = weights.filter("blocks = 1").agg(F.sum("weight")).first()[0] or 0
