@@ -184,7 +184,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
         logs = np.log10((counts + 1) / floor)
         end = np.log10((n_rows + 1) / floor)
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch, 2, 2 << 20):
                 found = Words(part.column(2))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(found.first))
                 at, known = find(found.hashes)
