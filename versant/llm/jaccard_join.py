@@ -292,7 +292,7 @@ def solve_tile(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}, schema=_EDGES)
 
 
-def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 8_000_000, tile_shingles: int = 1 << 17, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 8_000_000, tile_shingles: int = 1 << 20, tile_sets: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when the Jaccard similarity of
     their sets of k-word shingles is num / den or more; component_id is the smallest id reachable.
 
@@ -300,8 +300,8 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     is one shingle; null texts and texts without words have none and link with nothing (component_id
     is their own id).  A null id gives a null component_id and links with nothing.  Repeated rows
     are equal sets and link; each row is returned.  Extra columns are ignored; an empty table gives
-    no rows.  ``max_known`` bounds the counts that tasks share and ``tile_shingles`` a block; both
-    change costs only, never results.
+    no rows.  ``max_known`` bounds the counts that tasks share, ``tile_shingles`` and ``tile_sets`` a
+    block; they change costs only, never results.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -339,9 +339,9 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     grouped = found.join(mine, (found["doc_id"] == mine["node"]) & (found["key"] == mine["member_key"])).select("group", "node", "n", "shingles")
     grouped = scratch.table(grouped, "grouped")
     scratch.drop("groups", "keyed")
-    weights = scratch.table(grouped.groupBy("group").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).cast("int").alias("blocks"), F.sum("n").alias("weight")), "weights")
+    weights = scratch.table(grouped.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / F.lit(tile_shingles), F.count("*") / F.lit(tile_sets))).cast("int").alias("blocks"), F.sum("n").alias("weight")), "weights")
     small = weights.filter("blocks = 1").agg(F.sum("weight")).first()[0] or 0
-    packs = max(4 * buckets, -(-small // tile_shingles))
+    packs = max(4 * buckets, -(-small // (1 << 17)))
     w = weights.select(F.col("group").alias("weighed"), "blocks")
     placed = grouped.join(w, grouped["group"] == w["weighed"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
