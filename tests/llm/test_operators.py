@@ -247,3 +247,37 @@ def test_trie_probabilities_sum_to_one():
     alphabet = [b for b in range(256) if b not in (9, 11, 12, 13)]
     for context in (0x746865, 0x0A0A0A, 0xFF01FF):
         assert (10 ** trie.log10(np.array([(context << 8) | b for b in alphabet], np.uint64))).sum() == pytest.approx(1.0)
+
+
+def test_lm_scores_use_every_string(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    texts[3] += " zq xylophone"
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    line = lambda t: b"\n" * 5 + (" ".join(words_of(t)) + "\n").encode()
+    after = {}
+    for t, out in zip(texts, held):
+        b = line(t)
+        for i in range(5, len(b) if not out else 0):
+            for k in range(6):
+                after.setdefault(b[i - k : i], Counter())[b[i]] += 1
+
+    def log10(context, byte):
+        total, gone = 0.0, set()
+        for k in range(5, -1, -1):
+            seen = after.get(context[5 - k :], {})
+            left = {x: c for x, c in seen.items() if x not in gone}
+            if left:
+                n = sum(left.values())
+                if byte in left:
+                    return total + math.log10((left[byte] - 0.5) / n)
+                total += math.log10(0.5 * len(left) / n)
+            gone |= set(seen)
+        return total - math.log10(252 - len(gone))
+
+    want = {i: sum(log10(b[j - 5 : j], b[j]) for j in range(5, len(b))) for i, b in enumerate(map(line, texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (1_000_000, 40, 0):
+        got = {r.doc_id: r.score for r in ppm.score_documents(docs, max_grams=most).collect()}
+        assert got == pytest.approx(want)
+    assert {r.score for r in ppm.score_documents(docs, modulus=1, remainder=0).filter("n_tokens = 1").collect()} <= {-math.log10(252)}

@@ -2,10 +2,12 @@
 
 Training counts every string of ``order`` + 1 bytes of the normalized training
 texts (packed exchange).  The strings are the leaves of a byte-context trie;
-shorter contexts are their suffixes' sums.  The trie is held as one sorted
-array for each order.  Where more strings occur than ``max_grams``, those seen
-least often are left to the shorter contexts, so the trie that tasks share has
-a proven bound.
+shorter contexts are their suffixes' sums.  All counts are kept, in tables cut
+by a hash of the two bytes before a string's last: a bucket thus holds all that
+orders 2 and above know of its strings, and orders 1 and 0, 65,536 and 256
+strings at most, go to every task.  The ``max_grams`` commonest strings' final
+values go to every task as well; all other strings meet their bucket's trie by
+a packed exchange, so scores do not depend on ``max_grams``.
 
 A byte's probability: from its longest known context, the escape estimate of
 method D (half a count of each distinct successor) leads to the next shorter one, where the successors already ruled out are excluded from all sums; below
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrow_rows import record, slices
 from .shared import Scratch, id_remainder
-from .tallies import PACKED_SQL, count_histogram, gathered, partial_tallies, threshold_for, total_tallies
+from .tallies import PACKED, PACKED_SQL, count_histogram, gathered, partial_tallies, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, looked_up, summed
 
 END, GAP = 10, 32
@@ -80,14 +82,29 @@ class Level:
     kinds: np.ndarray
 
 
+def spread(strings: np.ndarray) -> np.ndarray:
+    """The strings, of 6 bytes at most, under 16 bits of hash of the two bytes before their last."""
+    before = (strings >> np.uint64(8)) & np.uint64(0xFFFF)
+    return (((before * np.uint64(40503)) & np.uint64(0xFFFF)) << np.uint64(48)) | strings
+
+
+def unspread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of spread keys in ascending order, and the order that makes it."""
+    strings = keys & np.uint64((1 << 48) - 1)
+    order = np.argsort(strings, kind="stable")
+    return strings[order], order
+
+
 class Trie:
-    def __init__(self, strings: np.ndarray, counts: np.ndarray, order: int):
-        self.order, self.levels = order, []
-        for k in range(order, -1, -1):
+    """``below``, if given, are the lowest levels, counted over more strings than these."""
+
+    def __init__(self, strings: np.ndarray, counts: np.ndarray, order: int, below: list[Level] | None = None):
+        self.order, self.levels = order, list(below or [])
+        for k in range(order, len(below or []) - 1, -1):
             contexts, starts = np.unique(strings >> np.uint64(8), return_index=True)
             total = np.add.reduceat(counts, starts) if len(starts) else counts
             kinds = np.diff(np.append(starts, len(strings)))
-            self.levels.insert(0, Level(strings, counts, contexts, total, kinds.astype(np.int32)))
+            self.levels.insert(len(below or []), Level(strings, counts, contexts, total, kinds.astype(np.int32)))
             if k:
                 strings, counts = summed(strings & np.uint64((1 << 8 * k) - 1), counts)
         # for each context of order k > 0: how often its successors follow its suffix
@@ -97,21 +114,6 @@ class Trie:
             at, _ = looked_up(below.strings, level.strings & np.uint64((1 << 8 * k) - 1))
             starts = np.searchsorted(level.strings >> np.uint64(8), level.contexts)
             self.ruled_out.append(np.add.reduceat(below.counts[at], starts) if len(starts) else below.counts[:0])
-        self.logs = self.log10(self.levels[order].strings).astype(np.float32)
-
-    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
-        """log10 probabilities by way of those of the longest strings, which most lookups find."""
-        top = self.levels[self.order]
-        find = Lookup(top.strings, top.counts)
-
-        def score(strings: np.ndarray) -> np.ndarray:
-            at, known = find(strings)
-            out = self.logs[at].astype(np.float64) if len(self.logs) else np.zeros(len(strings))
-            rest, back = np.unique(strings[~known], return_inverse=True)
-            out[~known] = self.log10(rest)[back]
-            return out
-
-        return score
 
     def log10(self, strings: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each string after the bytes before it."""
@@ -138,8 +140,8 @@ class Trie:
         return out
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.binary()), ("tail_n", pa.binary())])
-_SCORED_SQL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail binary, tail_n binary"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.binary()), ("tail_n", pa.binary()), ("strings", pa.binary()), ("strings_n", pa.binary())])
+_SCORED_SQL = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail binary, tail_n binary, strings binary, strings_n binary"
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order: int = 5, max_grams: int = 1_000_000, max_words: int = 500_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -149,11 +151,14 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     sums log10((c + 1) / (N + V + 1)) over words and the end, c being the count in the training
     rows: the ``max_words`` commonest words' counts go to every task, the rarer words meet their
     counts by a packed exchange, so every count is exact whatever the size of the vocabulary.
-    ``score`` is the trie's log10 probability of the normalized text.
+    ``score`` is the log10 probability of the normalized text by the trie of all training strings:
+    likewise the ``max_grams`` commonest strings' values go to every task, the others are exchanged.
 
     A null text counts as empty: one end token.  A null id counts as the empty id.  Repeated rows
     count as often as they occur; extra columns are ignored; an empty table gives no rows.
     """
+    if not 2 <= order <= 5:
+        raise ValueError("order must be 2 to 5")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -164,7 +169,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
         yield Words(part.column(part.num_columns - 1)).hashes
 
     def gram_keys(part):
-        yield grams(*normalized(Words(part.column(part.num_columns - 1)), order), order)
+        yield spread(grams(*normalized(Words(part.column(part.num_columns - 1)), order), order))
 
     words = scratch.table(total_tallies(partial_tallies(training, word_keys, buckets), buckets), "words")
     strings = scratch.table(total_tallies(partial_tallies(training, gram_keys, buckets, slice_bytes=2 << 20), buckets), "strings")
@@ -175,12 +180,14 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     common_from = threshold_for(histogram, max_words)
     common = spark.sparkContext.broadcast(gathered(words, common_from))
     whole_vocabulary = common_from <= 1
-    trie = spark.sparkContext.broadcast(Trie(*gathered(strings, threshold_for(deep, max_grams)), order))
+    cached = spark.sparkContext.broadcast(_common_values(strings, threshold_for(deep, max_grams)))
+    lowest = spark.sparkContext.broadcast(_lowest_levels(strings))
     floor = float(n + v + 1)
 
     def run(batches):
         keys, counts = common.value
-        find, points_of = Lookup(keys, counts), trie.value.scorer()
+        gram_table, gram_counts, gram_values = cached.value
+        find, find_gram = Lookup(keys, counts), Lookup(gram_table, gram_counts)
         logs = np.log10((counts + 1) / floor)
         end = np.log10((n_rows + 1) / floor)
         for batch in batches:
@@ -193,17 +200,41 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
                 n_known = np.bincount(owner, weights=known, minlength=part.num_rows).astype(np.int64) + (n_rows > 0)
                 tails, tail_n = _tails(found, known, whole_vocabulary, floor, base)
                 text, begins = normalized(found, order)
-                points = points_of(grams(text, begins, order))
-                starts = begins[:-1] - order * np.arange(part.num_rows)
-                yield record(_SCORED, part.column(0), part.column(1), part.column(3), np.diff(found.first) + 1, n_known, base, np.add.reduceat(points, starts), tails, tail_n)
+                asked = spread(grams(text, begins, order))
+                starts = begins - order * np.arange(part.num_rows + 1)
+                at, known = find_gram(asked)
+                points = np.where(known, gram_values[at], 0.0) if len(gram_table) else np.zeros(len(at))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(starts))
+                rare, rare_n = _packed_by_row(asked[~known], owner[~known], part.num_rows)
+                yield record(_SCORED, part.column(0), part.column(1), part.column(3), np.diff(found.first) + 1, n_known, base, np.add.reduceat(points, starts[:-1]), tails, tail_n, rare, rare_n)
+
+    def word_values(keys, counts):
+        def values(asked):
+            at, known = looked_up(keys, asked)
+            c = np.where(known, counts[at], 0) if len(keys) else np.zeros(len(asked))
+            return np.log10((c + 1) / floor), known
+
+        return values
+
+    def string_values(keys, counts):
+        strings, by = unspread(keys)
+        trie = Trie(strings, counts[by].astype(np.int64), order, lowest.value)
+
+        def values(asked):
+            each, inverse = np.unique(asked & np.uint64((1 << 48) - 1), return_inverse=True)
+            return trie.log10(each)[inverse], np.zeros(len(asked), dtype=bool)
+
+        return values
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
     scored = scratch.table(numbered.mapInArrow(run, _SCORED_SQL), "scored")
+    rare = _exchanged(scored.select("row", "strings", "strings_n"), strings, buckets, string_values).select("row", F.lit(0.0).alias("rare_base"), F.lit(0).cast("long").alias("rare_known"), F.col("value").alias("rare_score"))
     if not whole_vocabulary:
-        rare = _rare_sums(scored, words, buckets, floor).withColumnRenamed("row", "rare_row")
-        scored = scored.join(rare, scored["row"] == rare["rare_row"], "left")
-        scored = scored.withColumn("base", F.col("base") + F.coalesce("rare_base", F.lit(0.0))).withColumn("n_known", F.col("n_known") + F.coalesce("rare_known", F.lit(0)))
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+        rare = rare.unionByName(_exchanged(scored.select("row", "tail", "tail_n"), words, buckets, word_values).select("row", F.col("value").alias("rare_base"), F.col("known").alias("rare_known"), F.lit(0.0).alias("rare_score")))
+    rare = rare.groupBy(F.col("row").alias("rare_row")).agg(*[F.sum(c).alias(c) for c in ("rare_base", "rare_known", "rare_score")])
+    scored = scored.drop("tail", "tail_n", "strings", "strings_n").join(rare, F.col("row") == F.col("rare_row"), "left")
+    base, known, score = F.coalesce("rare_base", F.lit(0.0)), F.coalesce("rare_known", F.lit(0)), F.coalesce("rare_score", F.lit(0.0))
+    return scored.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + base).alias("base_score"), (F.col("score") + score).alias("score"))
 
 
 def _sums(batches):
@@ -214,6 +245,40 @@ def _sums(batches):
             yield record(schema, [int(counts.sum())], [len(counts)])
 
 
+def _common_values(strings: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spread keys (ascending) of the strings with a count of ``least`` or more, their counts and their
+    log10 probabilities after their contexts, all of whose strings are in the same bucket."""
+    schema = pa.schema([*PACKED, ("values", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, counts = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u8").astype(np.int64)
+                keep = counts >= least
+                _, context, inverse = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
+                total = np.add.reduceat(counts, context)[inverse] if len(keys) else counts
+                values = np.log10((counts[keep] - 0.5) / total[keep])
+                yield record(schema, [bucket], [keys[keep].tobytes()], [counts[keep].astype("<u8").tobytes()], [values.astype("<f8").tobytes()])
+
+    rows = sorted(strings.mapInArrow(run, PACKED_SQL + ", values binary").collect(), key=lambda r: r.bucket)
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("counts", "<i8"), ("values", "<f8")))
+
+
+def _lowest_levels(strings: DataFrame) -> list[Level]:
+    """Orders 0 and 1 over all buckets: 256 and 65,536 strings at most."""
+    schema = pa.schema([("string", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for keys, counts in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                yield record(schema, *summed(np.frombuffer(keys, "<u8") & np.uint64(0xFFFF), np.frombuffer(counts, "<u8")))
+
+    found = sorted((r[0], r[1]) for r in strings.mapInArrow(run, "string long, n long").groupBy("string").sum("n").collect())
+    return Trie(np.array([s for s, _ in found], np.uint64), np.array([n for _, n in found], np.int64), 1).levels
+
+
 def _tails(found: Words, known: np.ndarray, whole: bool, floor: float, base: np.ndarray) -> tuple[list, list]:
     """Words of each row whose count is not at hand, with their number in the row; with the whole
     vocabulary at hand they are unknown words, and go into ``base`` at once."""
@@ -232,10 +297,22 @@ def _tails(found: Words, known: np.ndarray, whole: bool, floor: float, base: np.
     return tails, numbers
 
 
-def _rare_sums(scored: DataFrame, words: DataFrame, buckets: int, floor: float) -> DataFrame:
-    """row, rare_base, rare_known: the part of each row's sums that its rare words make up."""
+def _packed_by_row(keys: np.ndarray, owner: np.ndarray, rows: int) -> tuple[list, list]:
+    """The distinct keys of each row and how often each occurs in it."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    numbers = np.diff(np.append(first, len(keys))).astype("<u4")
+    cuts = np.searchsorted(owner[first], np.arange(rows + 1)).tolist()
+    keys = keys[first].astype("<u8")
+    return [keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], [numbers[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def _exchanged(asking: DataFrame, table: DataFrame, buckets: int, values_by: Callable) -> DataFrame:
+    """row, value, known: sums over the keys that each row of ``asking`` (row, keys, counts) packs.
+    ``values_by`` makes of a bucket's keys and counts a function from keys to values and whether each is known."""
     asked_schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("rows", pa.binary())])
-    answer_schema = pa.schema([("row", pa.int64()), ("rare_base", pa.float64()), ("rare_known", pa.int64())])
+    answer_schema = pa.schema([("row", pa.int64()), ("value", pa.float64()), ("known", pa.int64())])
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
     def ask(batches):
@@ -253,22 +330,21 @@ def _rare_sums(scored: DataFrame, words: DataFrame, buckets: int, floor: float)
                     yield record(asked_schema, *zip(*out))
 
     def answer(batches):
-        tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        current, values_of = None, None
         for batch in batches:
             for bucket, keys, counts, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows is None:
-                    tables[bucket] = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u8")
+                    current, values_of = bucket, values_by(np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u8"))
                     continue
-                have, have_counts = tables.get(bucket, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+                if bucket != current:  # no key of the table is in this bucket
+                    current, values_of = bucket, values_by(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                 keys, numbers, rows = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u4"), np.frombuffer(rows, "<i8")
-                at, known = looked_up(have, keys)
-                c = np.where(known, have_counts[at], 0) if len(have) else np.zeros(len(keys))
+                values, known = values_of(keys)
                 each, inverse = np.unique(rows, return_inverse=True)
-                sums = np.bincount(inverse, weights=numbers * np.log10((c + 1) / floor))
-                yield record(answer_schema, each, sums, np.bincount(inverse, weights=numbers * known).astype(np.int64))
+                yield record(answer_schema, each, np.bincount(inverse, weights=numbers * values), np.bincount(inverse, weights=numbers * known).astype(np.int64))
 
-    asked = scored.filter(F.octet_length("tail") > 0).select("row", "tail", "tail_n").mapInArrow(ask, PACKED_SQL + ", rows binary")
-    both = words.withColumn("rows", F.lit(None).cast("binary")).unionByName(asked)
+    names = asking.columns
+    asked = asking.filter(F.octet_length(names[1]) > 0).mapInArrow(ask, PACKED_SQL + ", rows binary")
+    both = table.withColumn("rows", F.lit(None).cast("binary")).unionByName(asked)
     dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("rows").isNotNull())
-    answers = dealt.mapInArrow(answer, "row long, rare_base double, rare_known long")
-    return answers.groupBy("row").agg(F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
+    return dealt.mapInArrow(answer, "row long, value double, known long")
