@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from versant.operators import solve
 from versant.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,3 +29,25 @@ def test_against_sql(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def whole_turns(spark, folder=FOLDER):
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{folder}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn, r.text)):
+        turns.setdefault(r.conv_id, []).append(r)
+    return turns
+
+
+@pytest.mark.parametrize("name,strategy,options", [("align_dp", "dp", {}), ("align_greedy", "greedy", {}), ("align_hybrid", "hybrid", {}), ("align_words", "words", {}), ("align_raw", "dp", {"fix_drift": False, "snap_silence": False, "repair": False})])
+def test_alignment_takes_whole_texts(spark, name, strategy, options):
+    want = []
+    for recording, turns in whole_turns(spark).items():
+        at, parts = 0, []
+        for r in turns:
+            parts.append(solve.Segment(r.text, at / 16, (at + len(r.text)) / 16))
+            at += len(r.text)
+        units = [solve.Unit(r.turn + 1, r.text) for r in turns if r.role == "user"]
+        found = solve.align_full(parts, units, [(s.end - 0.125, s.end + 0.125) for s in parts], strategy=strategy, **options)
+        want += [(recording, r.unit.number, r.text, r.start, r.end, r.score) for r in found]
+    got = [(r.recording, r.unit_no, r.text, r.start_s, r.end_s, r.score) for r in QUERIES[name](spark, FOLDER).collect()]
+    assert sorted(got) == sorted(want) and any(len(w[2]) > 1000 for w in want)

@@ -66,3 +66,9 @@ def test_overlaps_and_snaps():
 
 def test_sequence_alignment_keeps_order():
     assert solve.align_sequences(["alpha", "beta", "gamma"], ["alpha", "gama"]) == [0, None, 1]
+
+
+def test_words_without_a_way_to_all_units_fall_back():
+    units = [Unit(1, "a b c d e f g h i j"), Unit(2, "k l m n o p q r s t")]
+    rows = solve.align_full([Segment("a b", 0, 1), Segment("k l", 1, 2)], units, strategy="words")
+    assert [r.unit.number for r in rows] == [1, 2]

@@ -414,7 +414,7 @@ def word_stream(segments: list[Segment]) -> list[Word]:
 
 def align_words(words: list[Word], units: list[Unit], silences: Iterable[tuple[float, float]] = (), ratio: float = 3.0, beam: int = 50) -> list[Row]:
     """Runs of words for units by beam search: a unit of r words takes between 0.3 r and ``ratio`` r words
-    near the place where its share of the stream would be."""
+    near the place where its share of the stream would be.  No rows where that leaves a unit without words."""
     if not words or not units:
         return []
     sizes = [max(n_words(u.text), 1) for u in units]
@@ -450,7 +450,7 @@ def align_words(words: list[Word], units: list[Unit], silences: Iterable[tuple[f
                 if last not in fresh or new < fresh[last][0]:
                     fresh[last] = new, (*path, (at, last))
         if not fresh:
-            break
+            return []
         ranked = sorted(fresh.items(), key=lambda x: (x[1][0], x[0]))
         near = sum(v[0] <= ranked[0][1][0] * 1.2 + 0.1 for _, v in ranked)
         states = dict(ranked[: 3 * beam if near > 0.6 * beam else beam])

@@ -507,12 +507,12 @@ def sessions(spark, sf):
 
 def _units(spark, sf):
     """Each recording's own user turns as the units to be found in all of its turns."""
-    return segments(spark, sf).filter("role = 'user'").select("recording", (F.col("seg_idx") + 1).alias("unit_no"), F.substring("text", 1, 80).alias("text"))
+    return segments(spark, sf).filter("role = 'user'").select("recording", (F.col("seg_idx") + 1).alias("unit_no"), "text")
 
 
 def _aligned(strategy: str, **options):
     def run(spark, sf):
-        rows = segments(spark, sf).withColumn("text", F.substring("text", 1, 80))
+        rows = segments(spark, sf)
         quiet = rows.select("recording", (F.col("end_s") - 0.125).alias("silence_start"), (F.col("end_s") + 0.125).alias("silence_end"))
         return alignment.align(rows, _units(spark, sf), strategy, quiet, **options)
 
