@@ -1,5 +1,7 @@
 """Queries against their SQL in DuckDB on the smallest tables."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -51,3 +53,20 @@ def test_alignment_takes_whole_texts(spark, name, strategy, options):
         want += [(recording, r.unit.number, r.text, r.start, r.end, r.score) for r in found]
     got = [(r.recording, r.unit_no, r.text, r.start_s, r.end_s, r.score) for r in QUERIES[name](spark, FOLDER).collect()]
     assert sorted(got) == sorted(want) and any(len(w[2]) > 1000 for w in want)
+
+
+def test_words_are_whole_and_numbered_apart(spark, tmp_path):
+    rng = random.Random(6)
+    turns = [(7, t, role, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))) for t, (role, n) in enumerate([("user", 30), ("assistant", 40), ("user", 1100), ("assistant", 20), (None, 3)])]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    mine, other, at = [], [], 0
+    for _, _, role, text in turns:
+        for word in text.split():
+            at += 1
+            (mine if role == "user" else other).append((at, word))
+    found = solve.align_sequences([w for _, w in mine], [w for _, w in other])
+    want = [(7, i, None if j is None else other[j][0]) for (i, _), j in zip(mine, found)]
+    assert sorted(map(tuple, QUERIES["match_words"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+    rows = sorted(QUERIES["word_gap_smoothing"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(1, at + 1))
+    assert [r.unit for r in rows] == [t for _, t, _, text in turns for _ in text.split()]

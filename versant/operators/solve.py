@@ -571,7 +571,9 @@ def align_sequences(reference: list[str], heard: list[str], accept: float = 0.6)
     """For each reference word the heard word it is matched with, in order, at the highest total; a pair
     counts its likeness, or -1 under ``accept``."""
     n, m = len(reference), len(heard)
-    worth = [[s if (s := indel_ratio(a, b)) >= accept else -1.0 for b in heard] for a in reference]
+    distinct = set(heard)
+    values = {a: {b: s if (s := indel_ratio(a, b)) >= accept else -1.0 for b in distinct} for a in set(reference)}
+    worth = [[values[a][b] for b in heard] for a in reference]
     best = [[0.0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):

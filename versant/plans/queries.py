@@ -523,18 +523,25 @@ for _name, _options in {"align_dp": ("dp", {}), "align_greedy": ("greedy", {}),
     QUERIES[_name] = _aligned(_options[0], **_options[1])
 
 
+def _words_in_order(spark, sf):
+    """All words of each recording, numbered from 1 on (place)."""
+    turn = F.row_number().over(Window.partitionBy("recording").orderBy("seg_idx", "text"))
+    words = boundaries.word_stream(segments(spark, sf).withColumn("seg_no", turn), ["recording", "seg_no"], "text", "start_s", "end_s")
+    return words.withColumn("place", F.row_number().over(Window.partitionBy("recording").orderBy("seg_no", "word_idx")).cast("long"))
+
+
 @query()
 def word_gap_smoothing(spark, sf):
-    words = boundaries.word_stream(segments(spark, sf).withColumn("text", F.substring("text", 1, 60)), ["recording", "seg_idx"], "text", "start_s", "end_s")
-    numbered = words.select("recording", (F.col("seg_idx") * 1000 + F.col("word_idx")).alias("place"), F.col("seg_idx").alias("unit"), F.col("word_start").alias("s"), F.col("word_end").alias("e"))
+    numbered = _words_in_order(spark, sf).select("recording", "place", F.col("seg_idx").alias("unit"), F.col("word_start").alias("s"), F.col("word_end").alias("e"))
     return boundaries.smooth_gaps(numbered, "recording", "place", "unit", "s", "e", F.lit(0.0))
 
 
 @query()
 def match_words(spark, sf):
-    words = boundaries.word_stream(segments(spark, sf).withColumn("text", F.substring("text", 1, 60)), ["recording", "seg_idx"], "text", "start_s", "end_s")
-    placed = words.select("recording", (F.col("seg_idx") * 1000 + F.col("word_idx")).cast("long").alias("word_idx"), "word")
-    return alignment.match_words(placed.filter("word_idx % 3 <> 0"), placed.filter("word_idx % 4 <> 1"))
+    """The words of each recording's user turns, to be found among those of its other turns."""
+    words = _words_in_order(spark, sf).select("recording", "role", F.col("place").alias("word_idx"), "word")
+    user = F.col("role").eqNullSafe("user")
+    return alignment.match_words(words.filter(user).drop("role"), words.filter(~user).drop("role"))
 
 
 @query()
