@@ -70,3 +70,25 @@ def test_words_are_whole_and_numbered_apart(spark, tmp_path):
     rows = sorted(QUERIES["word_gap_smoothing"](spark, str(tmp_path)).collect(), key=lambda r: r.place)
     assert [r.place for r in rows] == list(range(1, at + 1))
     assert [r.unit for r in rows] == [t for _, t, _, text in turns for _ in text.split()]
+
+
+@pytest.mark.parametrize("name", ["indel_similarity_whole", "indel_native_whole"])
+def test_indel_of_whole_texts(spark, tmp_path, name):
+    rng = random.Random(8)
+    start = "the same twenty letters and "
+    texts = [start + "".join(rng.choice("abc é") for _ in range(rng.randint(0, 40))) for _ in range(8)] + ["", "x", start]
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    want = [(i, 2 * common(a, b) / (len(a) + len(b))) for i, (a, b) in enumerate(zip(texts, texts[1:]))]
+    got = sorted((r.turn, r.ratio) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
+    assert any(0.5 < x < 1 for _, x in got)

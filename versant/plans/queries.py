@@ -109,6 +109,17 @@ def indel_native(spark, sf):
     return _pairs(spark, sf, 20).select("conv_id", "turn", similarity.indel_native(F.col("a"), F.col("b")).alias("ratio"))
 
 
+@query()
+def indel_similarity_whole(spark, sf):
+    """``indel_similarity`` without its SQL's cut to 20 characters."""
+    return _pairs(spark, sf).select("conv_id", "turn", similarity.indel("a", "b", normalized=False).alias("ratio"))
+
+
+@query()
+def indel_native_whole(spark, sf):
+    return _pairs(spark, sf).select("conv_id", "turn", similarity.indel_native(F.col("a"), F.col("b")).alias("ratio"))
+
+
 @query()
 def phonetic_similarity(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", similarity.phonetic("a", "b").alias("phonetic"))
