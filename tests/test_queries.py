@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from versant.operators import solve
+from versant.plans import report
 from versant.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -92,3 +93,19 @@ def test_indel_of_whole_texts(spark, tmp_path, name):
     got = sorted((r.turn, r.ratio) for r in QUERIES[name](spark, str(tmp_path)).collect())
     assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want])
     assert any(0.5 < x < 1 for _, x in got)
+
+
+@pytest.mark.parametrize("name", ["word_multiset_whole", "csv_lines_whole", "breath_intervals_whole"])
+def test_no_rows_are_left_out(spark, name):
+    test_against_sql(spark, name)
+    cut = name.removesuffix("_whole")
+    test_against_sql(spark, cut)
+    whole, less = QUERIES[name](spark, FOLDER), QUERIES[cut](spark, FOLDER)
+    assert whole.count() > less.count() and less.exceptAll(whole).count() == 0
+    if name == "csv_lines_whole":
+        assert whole.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+
+
+def test_csv_ties_go_away_from_zero(spark):
+    rows = spark.createDataFrame([(1, 0.125, 0.375, "x"), (2, -0.125, 2.5, "x")], "u long, s double, e double, t string")
+    assert [r[0] for r in rows.select(report.csv_line("u", "s", "e", "t")).collect()] == ['1,0.13,0.38,"x"', '2,-0.13,2.50,"x"']

@@ -273,6 +273,13 @@ def csv_lines(spark, sf):
     return rows.select("user_id", "unit_no", report.csv_line("unit_no", "start_s", "end_s", "text").alias("line"))
 
 
+@query(f"""WITH {RESULTS_SQL} SELECT user_id, unit_no, unit_no::VARCHAR || ',' || start_s::DECIMAL(18,2)::VARCHAR || ',' || end_s::DECIMAL(18,2)::VARCHAR || ',"' || replace('a "b", c', '"', '""') || '"' AS line FROM res""")
+def csv_lines_whole(spark, sf):
+    """``csv_lines`` with the rows on rounding ties, which its SQL leaves out."""
+    rows = results(spark, sf).withColumn("text", F.lit('a "b", c'))
+    return rows.select("user_id", "unit_no", report.csv_line("unit_no", "start_s", "end_s", "text").alias("line"))
+
+
 @query()
 def json_documents(spark, sf):
     return report.document(report.format_results(results(spark, sf)), "user_id", "unit_no")
@@ -297,6 +304,13 @@ def word_multiset(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(ws).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n >= 20")
 
 
+@query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY ALL")
+def word_multiset_whole(spark, sf):
+    """``word_multiset`` with the words that occur fewer than 20 times, which its SQL leaves out."""
+    ws = F.filter(F.split(F.lower("text"), "[ \\n\\t\\r]+"), lambda x: x != "")
+    return table(spark, sf, "documents").select("doc_id", F.explode(ws).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
 # --- runs -------------------------------------------------------------------
 
 _ISLANDS = "SELECT *, idx - row_number() OVER (PARTITION BY user_id ORDER BY unit_no) AS island FROM"
@@ -506,6 +520,13 @@ def breath_intervals(spark, sf):
     return frames.breath_intervals(ms, "a", "b").drop("duration_sec")
 
 
+@query(f"WITH {SILENCES_SQL} SELECT user_id, silence_id, floor(silence_start * 1000)::BIGINT / 1000.0::DOUBLE AS start_sec, floor(silence_end * 1000)::BIGINT / 1000.0::DOUBLE AS end_sec, true AS is_breath_boundary FROM sil")
+def breath_intervals_whole(spark, sf):
+    """``breath_intervals`` with the silences of odd ids, which its SQL leaves out."""
+    ms = silences(spark, sf).select("user_id", "silence_id", F.floor(F.col("silence_start") * 1000).alias("a"), F.floor(F.col("silence_end") * 1000).alias("b"))
+    return frames.breath_intervals(ms, "a", "b").drop("duration_sec")
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '6 hours' OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS opens FROM events), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
 SELECT user_id, count(*) AS n_events, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us FROM s GROUP BY user_id, sid""")
 def sessions(spark, sf):

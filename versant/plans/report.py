@@ -74,9 +74,9 @@ def prefer(base: DataFrame, others: list[tuple[str, DataFrame]], key: list[str],
 
 
 def csv_line(unit: str, start: str, end: str, text: str) -> Column:
-    """A line of the csv format: text always quoted, quotes doubled, times with two decimals."""
+    """A line of the csv format: text always quoted, quotes doubled, times with two decimals, ties away from 0."""
     quoted = F.concat(F.lit('"'), F.replace(F.col(text), F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.concat_ws(",", F.col(unit).cast("string"), F.format_string("%.2f", F.col(start)), F.format_string("%.2f", F.col(end)), quoted)
+    return F.concat_ws(",", F.col(unit).cast("string"), *[F.col(t).cast("decimal(18,2)").cast("string") for t in (start, end)], quoted)
 
 
 def text_line(unit: str, start: str, end: str, label: str = "Unit") -> Column:
