@@ -28,15 +28,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates at 0.8 over five-word shingles: the smallest id of each group stays."""
+    """Near duplicates at 0.8 over five-word shingles: of each group the row with the smallest id stays.
+    Rows are told apart by a number of their own, as ids may clash or be null."""
     scratch = Scratch(spark, "distinct")
-    links = scratch.table(jaccard_join.link_documents(docs, k=5, num=80, den=100), "links")
-    gone = scratch.table(links.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    if links.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        single = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = single.unionByName(kept.filter("doc_id is null"))
-    return kept
+    numbered = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    links = jaccard_join.link_documents(numbered, k=5, num=80, den=100, id_column="_row").select(F.col("doc_id").alias("_linked"), "component_id")
+    ids = numbered.select("_row", "doc_id")
+    grouped = ids.join(links, ids["_row"] == links["_linked"]).groupBy("component_id")
+    first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
+    first = scratch.table(first.select(F.col("first._row").alias("_first")), "first")
+    return numbered.join(first, numbered["_row"] == first["_first"], "left_semi").select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,12 @@ def test_stages(spark):
     sizes = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
     assert {r.doc_id: r.doc_tokens for r in pieces} == sizes and sum(r.length for r in pieces) == sum(sizes.values())
     assert np.max([r.offset + r.length for r in pieces]) <= 1024
+
+
+def test_clashing_ids_keep_every_distinct_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a), (None, c), (None, c), (None, b + " more"), (7, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_distinct(spark, docs, FOLDER)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, ""), (7, None)], key=str)
