@@ -281,3 +281,16 @@ def test_lm_scores_use_every_string(spark):
         got = {r.doc_id: r.score for r in ppm.score_documents(docs, max_grams=most).collect()}
         assert got == pytest.approx(want)
     assert {r.score for r in ppm.score_documents(docs, modulus=1, remainder=0).filter("n_tokens = 1").collect()} <= {-math.log10(252)}
+
+
+def test_token_store_notices_a_broken_index(spark):
+    store = token_store.write_tokens(docs_of(spark, odd_texts(30)), WORD, end_id=1, shards=1)
+    path = store.manifest[0]["path"].removeprefix("file://")
+    assert store.read().count() == 31
+    shard = token_store.Shard(path)
+    data = bytearray(open(path, "rb").read())
+    at = bytes(data).rindex(shard._slots.tobytes())
+    data[at + 4 : at + 8] = (int(shard._slots[0, 1]) ^ 1).to_bytes(4, "little")
+    open(path, "wb").write(data)
+    with pytest.raises(Exception, match="differs from its keys"):
+        store.read().collect()

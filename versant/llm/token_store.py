@@ -155,6 +155,17 @@ class Shard:
             at += 1
         return found
 
+    def check_index(self, at: int, last: int) -> None:
+        """Looks up the keys of the documents [at, last) and compares what the index says with the scan."""
+        nulls = self.footer["nulls"]
+        wanted = np.unique(self.keys[max(at, nulls) : last])
+        if not len(wanted):
+            return
+        slots = self._hash.slots(wanted)
+        first = np.searchsorted(self.keys[nulls:], wanted) + nulls
+        if (slots < 0).any() or (self._slots[slots, 0] != fingerprints(wanted)).any() or (self._slots[slots, 1] != first).any():
+            raise ValueError("the index of a token shard differs from its keys")
+
     def key(self, number: int) -> int | None:
         return None if number < self.footer["nulls"] else int(self.keys[number])
 
@@ -193,6 +204,7 @@ class TokenStore:
                     while at < m["n_docs"]:
                         limit = shard.places[at] + (2 << 20)
                         last = max(at + 1, int(np.searchsorted(shard.places, limit, "right")) - 1)
+                        shard.check_index(at, last)
                         flat = shard.ids(at, last).astype("<u4")
                         places = shard.places[at : last + 1]
                         inside = (places - places[0]).tolist()
