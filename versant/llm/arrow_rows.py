@@ -2,13 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of the batches that Python workers are sent, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def map_arrow(rows: DataFrame, run: Callable, sql: str) -> DataFrame:
+    """``mapInArrow`` in batches of a few MB, after each of which the worker gives back free memory.
+    The session's setting of batch bytes is set where it is unset."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+    def given(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            give_back()
+
+    return rows.mapInArrow(lambda batches: run(given(batches)), sql)
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: int = -1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,28 +63,31 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def row_priority(*columns: str):
-    """A number from 0 to 1 for each row, alike in every run over the same files; equal rows differ."""
-    from pyspark.sql import functions as F
-
-    return F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number from 0 to 1 for the values of each row, whatever files and partitions it lies in."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def extended(docs, run_columns: list, new_sql: str, schema_new: pa.Schema, values):
+def extended(docs: DataFrame, run_columns: list, new_sql: str, schema_new: pa.Schema, values: Callable) -> DataFrame:
     """``docs`` with new columns: ``values`` maps a batch of ``run_columns`` to the new arrays, or to
     them and a mask of the rows to keep.  New columns replace columns of the same name."""
     names = [f.name for f in schema_new]
-    kept = [c for c in docs.columns if c not in names]
-    n_kept, n_in = len(kept), len(run_columns)
-    inputs = docs.select(*[docs[c] for c in kept], *[c.alias(f"__in_{i}") for i, c in enumerate(run_columns)])
+    kept = [c for c in docs.columns if c.lower() not in names]
+    n_kept = len(kept)
+    free = "_"
+    while any(c.lower().startswith(free) for c in kept):
+        free += "_"
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    given_names = [f"{free}{i}" for i in range(len(run_columns))]
+    inputs = docs.select(*[F.col(quoted(c)) for c in kept], *[c.alias(n) for c, n in zip(run_columns, given_names)])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                given = part.select([f"__in_{i}" for i in range(n_in)])
+                given = part.select(given_names)
                 arrays, mask = values(given)
                 made = [pa.array(a, type=f.type) for a, f in zip(arrays, schema_new)]
                 whole = pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*kept, *names])
                 yield whole if mask is None else whole.filter(pa.array(mask))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(kept)]]
-    return inputs.mapInArrow(run, ", ".join([*fields, new_sql] if new_sql else fields))
+    fields = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in inputs.schema.fields[:n_kept]]
+    return map_arrow(inputs, run, ", ".join([*fields, new_sql] if new_sql else fields))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import extended, record, slices
+from .arrow_rows import extended, map_arrow, record, slices
 from .text_arrays import Words, bytes_of, joined, looked_up, mix
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("contained", pa.int64()), ("item_shingles", pa.int64())])
@@ -179,4 +179,4 @@ def _search(rows: DataFrame, index: ItemIndex, num: int, den: int) -> DataFrame:
                 if out:
                     yield record(_FOUND, *zip(*out))
 
-    return rows.mapInArrow(run, _SQL)
+    return map_arrow(rows, run, _SQL)

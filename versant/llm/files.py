@@ -9,6 +9,8 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path inside it."""
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return fs.LocalFileSystem(), uri[5:]
     if uri.startswith(("s3a://", "s3n://")):
         uri = "s3" + uri[3:]
     return fs.FileSystem.from_uri(uri)

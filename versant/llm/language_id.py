@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import extended, record, row_priority, slices
+from .arrow_rows import extended, map_arrow, record, row_priority, slices
 from .text_arrays import bytes_of
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
@@ -84,28 +84,38 @@ class KernelModel:
         return names, shares
 
 
-def fit(docs: DataFrame, training: Column, per_language: int = 512, landmarks: int = 48, width: int = 8192, longest: int = 3, ridge: float = 1e-3, lang_column: str = "lang", text_column: str = "text") -> KernelModel:
-    """Learns from a sample of about ``per_language`` rows of each language among the rows where
-    ``training`` holds and language and text are not null; ``landmarks`` of them are landmarks."""
-    rows = docs.filter(training).select(F.col(lang_column).cast("string").alias("lang"), row_priority(lang_column).alias("priority"), F.col(text_column).cast("string").alias("text")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, training: Column, per_language: int = 512, landmarks: int = 48, width: int = 8192, longest: int = 3, ridge: float = 1e-3, most_languages: int = 200, lang_column: str = "lang", text_column: str = "text") -> KernelModel:
+    """Learns from a sample of about ``per_language`` distinct texts of each of the ``most_languages``
+    commonest languages (ties by name) among the rows where ``training`` holds and language and text
+    are not null; ``landmarks`` of them are landmarks.  The sample goes by the texts' hash, so it is
+    the same however rows are ordered, repeated in files or partitioned."""
+    rows = docs.filter(training).select(F.col(lang_column).cast("string").alias("lang"), row_priority(text_column).alias("priority"), F.col(text_column).cast("string").alias("text")).filter("lang is not null and text is not null")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     if not counts:
         return KernelModel([], np.zeros((0, width), np.float32), np.zeros((0, 0), np.float32), width, longest)
 
     def run(batches):
+        sent = set()
         for batch in batches:
             for part in slices(batch):
-                keep = [p < 1.2 * per_language / counts[lang] for lang, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                keep = []
+                for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    chosen = row[0] in counts and row[1] < 1.2 * per_language / counts[row[0]] and row not in sent
+                    keep.append(chosen)
+                    if chosen:
+                        sent.add(row)
                 part = part.filter(pa.array(keep))
                 if part.num_rows:
                     bits = np.packbits(presence(part.column(2), width, longest), axis=1)
                     yield record(_SAMPLE, part.column(0), part.column(1), [b.tobytes() for b in bits])
 
-    sample = sorted(rows.mapInArrow(run, "lang string, priority double, bits binary").collect(), key=lambda r: (r["lang"], r["priority"]))
+    sample = sorted(map_arrow(rows, run, "lang string, priority double, bits binary").collect(), key=lambda r: (r["lang"], r["priority"]))
     taken: dict[str, list[np.ndarray]] = {}
+    last = None
     for r in sample:
         own = taken.setdefault(r["lang"], [])
-        if len(own) < per_language:
+        same, last = last == (r["lang"], r["priority"]), (r["lang"], r["priority"])
+        if len(own) < per_language and not same:
             own.append(np.unpackbits(np.frombuffer(r["bits"], np.uint8)))
     languages = sorted(taken)
     x = np.array([v for lang in languages for v in taken[lang]], dtype=np.float32)
@@ -120,16 +130,22 @@ def fit(docs: DataFrame, training: Column, per_language: int = 512, landmarks: i
     return model
 
 
-def identify(docs: DataFrame, model: KernelModel, reject_below: float | None = None, text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: KernelModel, text_column: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1).  Null texts and texts without a letter are ``und``
-    with score 0, as is everything if there was nothing to learn from.  With ``reject_below`` only
-    rows stay that are not ``und`` and score at least that.  Columns named like the new ones give
-    way to them; repeated rows are alike; an empty table stays empty."""
+    with score 0, as is everything if there was nothing to learn from.  Columns named like the new
+    ones give way to them; repeated rows are alike; an empty table stays empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = F.col(text_column).cast("string")
+    return extended(docs, [text], "lang_pred string, score double", _ADDED, lambda given: (shared.value.predict(given.column(0)), None))
+
+
+def only_identified(docs: DataFrame, model: KernelModel, least: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language ``identify`` finds with a score of ``least`` or
+    more; null texts and texts without a letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def values(given):
         names, shares = shared.value.predict(given.column(0))
-        mask = None if reject_below is None else [n != "und" and s >= reject_below for n, s in zip(names, shares.tolist())]
-        return (names, shares), mask
+        return (), [n != "und" and s >= least for n, s in zip(names, shares.tolist())]
 
-    return extended(docs, [F.col(text_column).cast("string")], "lang_pred string, score double", _ADDED, values)
+    return extended(docs, [F.col(text_column).cast("string")], "", pa.schema([]), values)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import partition_number, record, slices
+from .arrow_rows import map_arrow, partition_number, record, slices
 from .chunk_tokens import text_ids
 from .shared import Scratch
 
@@ -43,7 +43,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_column: st
                 yield record(_ENCODED, rows.column(0), narrow, n, [part] * len(n), starts)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids binary, n long, part int, before long")
+    return map_arrow(rows, run, "doc_id long, ids binary, n long, part int, before long")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -83,4 +83,4 @@ def cut(encoded: DataFrame, bases: list[int], window: int) -> DataFrame:
                 yield record(_PIECES, *out)
 
     columns = encoded.select("doc_id", "ids", "n", "part", "before")
-    return columns.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return map_arrow(columns, run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

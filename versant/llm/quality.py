@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import extended, record, row_priority, slices
+from .arrow_rows import extended, map_arrow, record, row_priority, slices
 from .text_arrays import Words, bytes_of
 
 GOOD, NONE, BAD = 2, 1, 0
@@ -170,51 +170,65 @@ def train_linear(x: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float =
 
 def fit(docs: DataFrame, sample: int = 4096, width: int = 2048, text_column: str = "text") -> QualityModel:
     """Counts vote patterns over all documents, estimates the label model, and trains the scorer on
-    about ``sample`` documents, a bound that doesn't grow with the corpus.  Null texts are empty."""
+    about ``sample`` distinct texts, a bound that doesn't grow with the corpus; they are chosen by
+    their hash, whatever the order and the files of the rows.  Null texts are empty."""
     rows = docs.select(row_priority(text_column).alias("priority"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     share = sample / max(docs.count(), 1)
 
     def run(batches):
         tally: dict[int, int] = {}
+        sent: set[float] = set()
         for batch in batches:
             for part in slices(batch):
                 pattern = pattern_numbers(votes(part.column(1)))
                 for v, n in zip(*(x.tolist() for x in np.unique(pattern, return_counts=True))):
                     tally[v] = tally.get(v, 0) + n
-                chosen = np.flatnonzero(part.column(0).to_numpy() < share)
+                priority = part.column(0).to_numpy()
+                _, once = np.unique(priority, return_index=True)
+                chosen = np.array([i for i in np.sort(once).tolist() if priority[i] < share and priority[i] not in sent], dtype=np.int64)
                 if len(chosen):
+                    sent.update(priority[chosen].tolist())
                     x = features(part.column(1).take(pa.array(chosen)), width).astype(np.float16)
-                    yield record(_TALLY, pattern[chosen], [0] * len(chosen), part.column(0).to_numpy()[chosen], [r.tobytes() for r in x])
+                    yield record(_TALLY, pattern[chosen], [0] * len(chosen), priority[chosen], [r.tobytes() for r in x])
         if tally:
             yield record(_TALLY, list(tally), list(tally.values()), [None] * len(tally), [None] * len(tally))
 
-    counted, kept = {}, []
-    for r in rows.mapInArrow(run, _TALLY_SQL).collect():
+    counted, kept = {}, {}
+    for r in map_arrow(rows, run, _TALLY_SQL).collect():
         if r["features"] is None:
             counted[r["pattern"]] = counted.get(r["pattern"], 0) + r["n"]
         else:
-            kept.append((r["priority"], r["pattern"], r["features"]))
+            kept[r["priority"]] = (r["pattern"], r["features"])
     if not counted:
         return QualityModel(LabelModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3)), np.zeros(width, np.float32), 0.0, width)
     split = lambda numbers: np.array(numbers)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     labels = estimate(split(list(counted)), np.array(list(counted.values()), dtype=np.float64))
     if not kept:
         return QualityModel(labels, np.zeros(width, np.float32), float(np.log(labels.good / (1 - labels.good))), width)
-    kept.sort(key=lambda k: k[:2])
-    x = np.stack([np.frombuffer(f, np.float16).astype(np.float32) for _, _, f in kept])
-    w, b = train_linear(x, labels.posterior(split([k[1] for k in kept])))
+    chosen = [kept[p] for p in sorted(kept)]
+    x = np.stack([np.frombuffer(f, np.float16).astype(np.float32) for _, f in chosen])
+    w, b = train_linear(x, labels.posterior(split([pattern for pattern, _ in chosen])))
     return QualityModel(labels, w, b, width)
 
 
-def classify(docs: DataFrame, model: QualityModel, keep_from: float = 0.5, only_kept: bool = False, text_column: str = "text") -> DataFrame:
+def _scores(model: QualityModel, column: pa.Array) -> np.ndarray:
+    return np.concatenate([model.score(column.slice(at, 1024)) for at in range(0, len(column), 1024)])
+
+
+def classify(docs: DataFrame, model: QualityModel, keep_from: float = 0.5, text_column: str = "text") -> DataFrame:
     """``docs`` with quality_score (0 to 1) and keep.  Null texts are empty and score as the bias
-    says; repeated rows score alike; columns named like the new ones give way to them; with
-    ``only_kept`` the rows that aren't kept go.  An empty table stays empty."""
+    says; repeated rows score alike; columns named like the new ones give way to them.  An empty
+    table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def values(given):
-        score = np.concatenate([shared.value.score(given.column(0).slice(at, 1024)) for at in range(0, given.num_rows, 1024)])
-        keep = score >= keep_from
-        return (score, keep), keep if only_kept else None
+        score = _scores(shared.value, given.column(0))
+        return (score, score >= keep_from), None
 
     return extended(docs, [F.coalesce(F.col(text_column).cast("string"), F.lit(""))], "quality_score double, keep boolean", _ADDED, values)
+
+
+def only_good(docs: DataFrame, model: QualityModel, keep_from: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, that ``classify`` keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return extended(docs, [F.coalesce(F.col(text_column).cast("string"), F.lit(""))], "", pa.schema([]), lambda given: ((), _scores(shared.value, given.column(0)) >= keep_from))

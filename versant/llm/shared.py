@@ -8,6 +8,9 @@ held, never the stages that made the table.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -18,20 +21,27 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a session in one process
+    (tests) gets a local one, and a cluster, whose machines share no such folder, an error."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{_SETTING} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="versant-shared-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """A private folder below the shared one, for the tables of one call of an operator."""
+    """A private folder below the shared one, for the tables of one call of an operator.  Operators
+    drop the tables that no result reads; the folder goes when the driver's process ends, but for
+    one that holds a product (``keep``)."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, keep: bool = False):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/versant/{label}-{uuid.uuid4().hex}"
+        if not keep:
+            atexit.register(self.remove)
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -42,12 +52,25 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Deletes tables that no later plan reads; ``name*`` stands for all that begin so."""
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            path = self._path_of(self.path(name))
+            store = self._store_of(path)
+            for found in store.globStatus(path) or []:
+                store.delete(found.getPath(), True)
+
+    def remove(self) -> None:
+        """Deletes the folder; a session that is gone already leaves it."""
+        atexit.unregister(self.remove)
+        with contextlib.suppress(Exception):
+            path = self._path_of(self.folder)
+            self._store_of(path).delete(path, True)
+
+    def _path_of(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _store_of(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -71,8 +71,10 @@ class Words:
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            place = np.arange(len(self.letters)) - np.repeat(self.starts, self.sizes)
-            terms = _VALUE[self.letters] * _powers(int(self.sizes.max()))[place]
+            place = np.arange(len(self.letters), dtype=np.int32)
+            place -= np.repeat(self.starts.astype(np.int32), self.sizes)
+            terms = _VALUE[self.letters]
+            terms *= _powers(int(self.sizes.max()))[place]
             return mix(np.add.reduceat(terms, self.starts) + self.sizes.astype(np.uint64))
 
 
