@@ -17,36 +17,41 @@ from versant.llm.shared import Scratch, id_remainder, read_table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: documents without letters or without a clear language go."""
+    """Language identification: documents without letters (null and empty texts among them) or without
+    a clear language go.  Ids play no part but in choosing the rows to learn from."""
     model = language_id.fit(docs, id_remainder("doc_id", 4) != 2)
-    return language_id.identify(docs, model, reject_below=0.3).select(*docs.columns)
+    return language_id.only_identified(docs, model, least=0.3)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents under its threshold go."""
-    return quality.classify(docs, quality.fit(docs), only_kept=True).select(*docs.columns)
+    """Quality classifier: documents under its threshold go; a null text is judged as an empty one."""
+    return quality.only_good(docs, quality.fit(docs))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates at 0.8 over five-word shingles: of each group the row with the smallest id stays.
-    Rows are told apart by a number of their own, as ids may clash or be null."""
+    """Near duplicates at 0.8 over five-word shingles: of each group the row with the smallest id stays,
+    a null id counting as the largest.  Texts without words, null ones among them, are in no group and
+    stay.  Rows are told apart by a number of their own, as ids may clash or be null."""
     scratch = Scratch(spark, "distinct")
-    numbered = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    links = jaccard_join.link_documents(numbered, k=5, num=80, den=100, id_column="_row").select(F.col("doc_id").alias("_linked"), "component_id")
-    ids = numbered.select("_row", "doc_id")
-    grouped = ids.join(links, ids["_row"] == links["_linked"]).groupBy("component_id")
-    first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first"))
-    first = scratch.table(first.select(F.col("first._row").alias("_first")), "first")
-    return numbered.join(first, numbered["_row"] == first["_first"], "left_semi").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    doc_id, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    numbered = scratch.table(plain.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
+    links = jaccard_join.link_documents(numbered, k=5, num=80, den=100, id_column="row_number", text_column=text).select(F.col("doc_id").alias("linked"), "component_id")
+    ids = numbered.select("row_number", F.col(doc_id).alias("id"))
+    grouped = ids.join(links, F.col("row_number") == F.col("linked")).groupBy("component_id")
+    first = grouped.agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_number")).alias("first"))
+    first = scratch.table(first.select(F.col("first.row_number").alias("first_row")), "first")
+    return numbered.join(first, F.col("row_number") == F.col("first_row"), "left_semi").drop("row_number").toDF(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents that contain a test item go."""
+    """Benchmark decontamination: documents that contain a test item go; null texts contain none."""
     return decontaminate.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"), k=5, num=80, den=100)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing into sequences of 1024 ids."""
+    """Packing into sequences of 1024 ids: a row for each piece; a null text is its end id alone."""
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -70,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
             docs = scratch.table(docs, name)
+            scratch.drop(*[earlier for earlier, _ in STAGES[:n]])
     return docs
