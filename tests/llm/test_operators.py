@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,9 +140,7 @@ def test_words_and_shingles():
         assert len(s) == len(want)
 
 
-@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
-def test_jaccard_join(spark, k, num, den):
-    rng = random.Random(7)
+def near_texts(rng):
     texts = ["", None, "a b", "a b", "A  b\n"]
     for size in (6, 12, 13, 25, 60, 200):
         base = [f"w{rng.randint(0, 400)}" for _ in range(size)]
@@ -150,23 +149,67 @@ def test_jaccard_join(spark, k, num, den):
             for _ in range(rng.randint(0, 1 + size // 40)):
                 copy[rng.randrange(size)] = f"z{rng.randint(0, 9)}"
             texts.append(" ".join(copy[rng.randint(0, 1) :]))
-    rows = jaccard_join.link_documents(docs_of(spark, texts), k, num, den, tile_shingles=300).collect()
+    return texts
+
+
+def word_sets(texts, k):
     sets = []
     for t in texts:
         w = words_of(t)
         sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
-    label = list(range(len(texts)))
-    changed = True
+    return sets
+
+
+def components_of(sets, num, den):
+    label, changed = list(range(len(sets))), True
     while changed:
         changed = False
-        for i in range(len(texts)):
-            for j in range(len(texts)):
-                if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and label[j] < label[i]:
+        for i in range(len(sets)):
+            for j in range(len(sets)):
+                if label[j] < label[i] and sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                     label[i], changed = label[j], True
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows if r.doc_id is not None) == [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, label))]
+    return label
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_jaccard_join(spark, k, num, den):
+    texts = near_texts(random.Random(7))
+    sets = word_sets(texts, k)
+    rows = jaccard_join.link_documents(docs_of(spark, texts), k, num, den, tile_shingles=300).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows if r.doc_id is not None) == [(i, len(s), c) for i, (s, c) in enumerate(zip(sets, components_of(sets, num, den)))]
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+@pytest.mark.parametrize("light,settings", [(1, {"tile_sets": 3}), (14, {"max_known": 50}), (None, {"max_known": 0, "tile_shingles": 200})])
+def test_jaccard_join_settings_change_costs_only(spark, monkeypatch, light, settings):
+    texts = near_texts(random.Random(11))
+    sets = word_sets(texts, 3)
+    if light:
+        monkeypatch.setattr(jaccard_join, "boundary", lambda *_: light)
+    rows = jaccard_join.link_documents(docs_of(spark, texts), 3, 90, 100, **settings).filter("doc_id is not null").collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(components_of(sets, 90, 100)))
+
+
+def test_jaccard_join_of_odd_tables(spark):
+    rows = [(4, "One two three four", 1, "x"), (4, "one two three four", 1, "x"), (2, "one two three four", 2, "y"), (4, "other words here", 3, None), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, key string")
+    got = sorted(map(tuple, jaccard_join.link_documents(docs, 3, 90, 100).collect()), key=str)
+    assert got == sorted([(4, 2, 2), (4, 2, 2), (2, 2, 2), (4, 1, 4), (None, 0, None)], key=str)
+    assert jaccard_join.link_documents(docs.limit(0), 3, 90, 100).count() == 0
+
+
+def test_a_tile_with_one_long_set_stays_small():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in [*[200] * 4000, 10_000]]
+    sets.append(np.unique(np.append(sets[5][:-3], np.uint64(9))))
+    tracemalloc.start()
+    found = jaccard_join.linking_pairs(sets, np.arange(0, len(sets), 2), np.arange(1, len(sets), 2), 90, 100)
+    found += jaccard_join.linking_pairs(sets, np.arange(1, len(sets), 2), None, 90, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [{5, 4001}] == [set(p) for p in found] and peak < 120 << 20
+
+
 def test_subset_keys_meet():
     for n in range(1, 31):
         for m in range(1, n + 1):

@@ -17,16 +17,18 @@ are found through keys that two linked sets must share:
   Sets just below it do both, so that they meet heavy partners.
 
 Members of a list form a star; stars that overlap form groups; all pairs that
-can link lie in one group.  Groups are cut into blocks of a bounded number of
-shingles, and every pair of blocks of a group is a tile of its own, so a group
-of any size is spread over many tasks.  In a tile, parity bitmaps bound the
-overlap of two sets from above (a matrix product over +1 and -1), pairs that
-pass are compared shingle by shingle, and pairs already connected are skipped.
+can link lie in one group.  Large groups are cut by set size into blocks of a
+bounded number of shingles; every pair of blocks whose sizes can link is a tile
+of its own, so a group of any size is spread over many tasks.  In a tile, parity
+bitmaps bound the overlap of two sets from above (a matrix product over +1 and
+-1, for chunks of rows of like size), pairs that pass are compared shingle by
+shingle, and pairs already connected are skipped.
 A tile gives a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from itertools import combinations
 from math import comb
@@ -34,13 +36,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .components import connected_components
 from .shared import Scratch
-from .tallies import count_histogram, gathered_short, packed_rows, threshold_for, total_tallies
+from .tallies import bucket_count, count_histogram, gathered_short, packed_rows, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, merged_counts, mix, shingle_sets, summed
 
 #: Part of the hash space of shingles, from 0, for which documents are counted.
@@ -101,7 +103,7 @@ def subset_keys(shingles: np.ndarray, num: int, den: int) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, k: int, buckets: int, hold: int = 2_000_000) -> DataFrame:
+def scan(docs: DataFrame, k: int, buckets: int, hold: int = 1_000_000) -> DataFrame:
     """One pass over the texts: a row (doc_id, n, key) for each document, and packed counts of the
     documents that hold each shingle of the counted part of the hash space."""
 
@@ -125,7 +127,7 @@ def scan(docs: DataFrame, k: int, buckets: int, hold: int = 2_000_000) -> DataFr
                     keys, counts = keys[:0], counts[:0]
         yield from packed()
 
-    return docs.mapInArrow(run, _SCAN_SQL)
+    return map_arrow(docs, run, _SCAN_SQL)
 
 
 def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: tuple[np.ndarray, np.ndarray], known_from: int) -> DataFrame:
@@ -160,7 +162,7 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
                 if rows:
                     yield record(_POSTED, *zip(*rows))
 
-    return docs.mapInArrow(run, _POSTED_SQL)
+    return map_arrow(docs, run, _POSTED_SQL)
 
 
 def member_filter(members: DataFrame, column: str) -> np.ndarray:
@@ -177,7 +179,7 @@ def member_filter(members: DataFrame, column: str) -> np.ndarray:
         yield record(_BITS, [zlib.compress(np.packbits(mine).tobytes(), 1)])
 
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in members.select(column).coalesce(32).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in map_arrow(members.select(column).coalesce(32), run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return out
 
@@ -201,7 +203,7 @@ def sets_of(docs: DataFrame, k: int, members: np.ndarray) -> DataFrame:
                     sets = shingle_sets(Words(part.column(1)), k)
                     yield record(_SETS, part.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SETS_SQL)
+    return map_arrow(docs.select("doc_id", "text"), run, _SETS_SQL)
 
 
 class Forest:
@@ -228,22 +230,44 @@ class Forest:
             self.parent = up
 
 
+class Parities:
+    """Rows of sets by size, in chunks, with a bitmap of shingle parities for each row.  The bits of a
+    chunk follow its largest set, and one chunk is made at a time, so one long set costs its own chunk only."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, num: int, den: int, chunk: int):
+        rows = rows[np.argsort(sizes[rows], kind="stable")]
+        self.rows = [rows[i : i + chunk] for i in range(0, len(rows), chunk)]
+        self.least, self.most = [int(sizes[r[0]]) for r in self.rows], [int(sizes[r[-1]]) for r in self.rows]
+        self.bits, self._packed = [], []
+        for part, most in zip(self.rows, self.most):
+            bits = 256
+            while bits < min(16 * most * (den - num) // (den + num), 8192):
+                bits *= 2
+            places = (np.concatenate([sets[r] for r in part]) & np.uint64(bits - 1)).astype(np.int64)
+            places += np.repeat(np.arange(len(part)) * bits, sizes[part])
+            parity = (np.bincount(places, minlength=len(part) * bits) & 1).astype(np.uint8)
+            self.bits.append(bits)
+            self._packed.append(np.packbits(parity.reshape(len(part), bits), axis=1))
+
+    def signs(self, n: int, bits: int) -> np.ndarray:
+        """+1 and -1 for the rows of chunk ``n``, folded to so many bits."""
+        packed = np.bitwise_xor.reduce(self._packed[n].reshape(len(self.rows[n]), -1, bits // 8), axis=1)
+        return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+
+
 def linking_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, num: int, den: int, chunk: int = 512) -> list[tuple[int, int]]:
     """Spanning forest of the links between rows of ``left`` and ``right``, or within ``left``."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    widest = int(sizes.max()) * 2 * (den - num) // (den + num)
-    bits = 256
-    while bits < min(8 * widest, 8192):
-        bits *= 2
-    places = np.concatenate(sets) & np.uint64(bits - 1)
-    parity = np.bincount(np.repeat(np.arange(len(sets)), sizes) * bits + places.astype(np.int64), minlength=len(sets) * bits)
-    signs = ((parity & 1) * 2 - 1).astype(np.float32).reshape(len(sets), bits)
     forest, links = Forest(len(sets)), []
-    other = left if right is None else right
-    for i in range(0, len(left), chunk):
-        for j in range(i if right is None else 0, len(other), chunk):
-            a, b = left[i : i + chunk], other[j : j + chunk]
-            apart = (bits - signs[a] @ signs[b].T) / 2  # no more than the shingles that only one of the two has
+    mine = Parities(sets, sizes, left, num, den, chunk)
+    theirs = mine if right is None else Parities(sets, sizes, right, num, den, chunk)
+    for i, a in enumerate(mine.rows):
+        for j in range(i if right is None else 0, len(theirs.rows)):
+            b = theirs.rows[j]
+            if mine.most[i] * den < theirs.least[j] * num or theirs.most[j] * den < mine.least[i] * num:
+                continue
+            bits = min(mine.bits[i], theirs.bits[j])
+            apart = (bits - mine.signs(i, bits) @ theirs.signs(j, bits).T) / 2  # no more than the shingles that only one of the two has
             both = sizes[a][:, None] + sizes[b][None, :]
             able = (apart * (num + den) <= both * (den - num)) & (np.minimum(sizes[a][:, None], sizes[b][None, :]) * den >= np.maximum(sizes[a][:, None], sizes[b][None, :]) * num)
             x, y = np.nonzero(able)
@@ -292,6 +316,23 @@ def solve_tile(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}, schema=_EDGES)
 
 
+def size_level(n: Column, num: int, den: int) -> Column:
+    """Levels of set size so wide that linked sets are at most one level apart."""
+    return F.floor(F.log(n.cast("double")) / (math.log(den / num) * 1.001 if num < den else 1e-9))
+
+
+def block_ranges(grouped: DataFrame, tile_shingles: int, tile_sets: int) -> DataFrame:
+    """group, level, weight, whole, blocks, first, low, high: whether the group is one block; if not, its
+    levels' blocks, numbered by size from ``first``, and the range [low, high) of blocks within one level."""
+    parts = lambda n, c: F.ceil(F.greatest(n / F.lit(tile_shingles), c / F.lit(tile_sets))).cast("long")
+    levels = grouped.groupBy("group", "level").agg(F.sum("n").alias("weight"), F.count("*").alias("sets"))
+    levels = levels.withColumn("blocks", parts(F.col("weight"), F.col("sets")))
+    whole, by_size = Window.partitionBy("group"), Window.partitionBy("group").orderBy("level")
+    levels = levels.withColumn("whole", parts(F.sum("weight").over(whole), F.sum("sets").over(whole)) == 1).withColumn("first", F.sum("blocks").over(by_size) - F.col("blocks"))
+    near = lambda step, f: F.when(f("level").over(by_size) == F.col("level") + step, f("blocks").over(by_size)).otherwise(F.lit(0))
+    return levels.withColumn("low", F.col("first") - near(-1, F.lag)).withColumn("high", F.col("first") + F.col("blocks") + near(1, F.lead))
+
+
 def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 8_000_000, tile_shingles: int = 1 << 20, tile_sets: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when the Jaccard similarity of
     their sets of k-word shingles is num / den or more; component_id is the smallest id reachable.
@@ -305,8 +346,8 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    buckets = bucket_count(rows)
 
     scanned = scratch.table(scan(rows, k, buckets), "scanned")
     members = scanned.filter("bucket is null").select("doc_id", "n", "key")
@@ -339,13 +380,16 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     grouped = found.join(mine, (found["doc_id"] == mine["node"]) & (found["key"] == mine["member_key"])).select("group", "node", "n", "shingles")
     grouped = scratch.table(grouped, "grouped")
     scratch.drop("groups", "keyed")
-    weights = scratch.table(grouped.groupBy("group").agg(F.ceil(F.greatest(F.sum("n") / F.lit(tile_shingles), F.count("*") / F.lit(tile_sets))).cast("int").alias("blocks"), F.sum("n").alias("weight")), "weights")
-    small = weights.filter("blocks = 1").agg(F.sum("weight")).first()[0] or 0
+    grouped = grouped.withColumn("level", size_level(F.col("n"), num, den))
+    weights = scratch.table(block_ranges(grouped, tile_shingles, tile_sets), "weights")
+    small = weights.filter("whole").agg(F.sum("weight")).first()[0] or 0
     packs = max(4 * buckets, -(-small // (1 << 17)))
-    w = weights.select(F.col("group").alias("weighed"), "blocks")
-    placed = grouped.join(w, grouped["group"] == w["weighed"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
-    tiled = placed.withColumn("pack", pack).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    w = weights.select(F.col("group").alias("weighed"), F.col("level").alias("weighed_level"), "whole", "blocks", "first", "low", "high")
+    placed = grouped.join(w, (F.col("group") == F.col("weighed")) & (F.col("level") == F.col("weighed_level")))
+    placed = placed.withColumn("block", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks").cast("long"))))
+    pack = F.when(F.col("whole"), F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
+    others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("low"), F.col("high") - 1))
+    tiled = placed.withColumn("pack", pack).withColumn("other", F.explode(others))
     tiled = tiled.select("pack", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "group", "block", "node", "shingles")
     links = scratch.table(tiled.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, num, den), "a long, b long"), "links")
     scratch.drop("grouped", "weights")
@@ -353,6 +397,7 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     linked = connected_components(links, scratch, "linked").withColumnRenamed("node", "linked_node")
     named = classes.join(linked, classes["node"] == linked["linked_node"], "left").select(F.col("key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     named = scratch.table(named, "named")
+    scratch.drop("classes", "links", "linked-*", "groups-*")
     joined = members.join(named, members["key"] == named["class_key"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -13,14 +13,25 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .text_arrays import merged_counts, summed
 
+#: Bytes of text for each bucket.  A byte gives at most one key of 16 bytes with its count, so a
+#: bucket of evenly spread keys is far below the 2 GB of one cell.
+BUCKET_BYTES = 32 << 20
+
 PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 PACKED_SQL = "bucket int, keys binary, counts binary"
 
 
+def bucket_count(rows: DataFrame, text_column: str = "text") -> int:
+    """Buckets for keys counted over the texts of ``rows``: by their bytes, and no fewer than shuffle partitions."""
+    size = rows.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def packed_rows(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Sorted keys cut into ranges of the 64-bit key space."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
@@ -51,7 +62,7 @@ def partial_tallies(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterabl
                     keys, counts = keys[:0], counts[:0]
         yield from out()
 
-    return rows.mapInArrow(run, PACKED_SQL)
+    return map_arrow(rows, run, PACKED_SQL)
 
 
 def total_tallies(partial: DataFrame, buckets: int, least: int = 1) -> DataFrame:
@@ -74,7 +85,7 @@ def total_tallies(partial: DataFrame, buckets: int, least: int = 1) -> DataFrame
             keep = counts >= least
             yield record(PACKED, [bucket], [keys[keep].tobytes()], [counts[keep].tobytes()])
 
-    return partial.repartition(buckets, "bucket").mapInArrow(run, PACKED_SQL)
+    return map_arrow(partial.repartitionById(buckets, F.col("bucket")), run, PACKED_SQL)
 
 
 def count_histogram(totals: DataFrame, largest: int = 1 << 20) -> dict[int, int]:
@@ -88,7 +99,7 @@ def count_histogram(totals: DataFrame, largest: int = 1 << 20) -> dict[int, int]
                 if len(values):
                     yield record(schema, values, n)
 
-    found = totals.select("counts").mapInArrow(run, "count long, keys long").groupBy("count").sum("keys").collect()
+    found = map_arrow(totals.select("counts"), run, "count long, keys long").groupBy("count").sum("keys").collect()
     return {r[0]: r[1] for r in found}
 
 
@@ -114,7 +125,7 @@ def gathered(totals: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
                 keep = np.frombuffer(counts, "<u8") >= least
                 yield record(PACKED, [bucket], [np.frombuffer(keys, "<u8")[keep].tobytes()], [np.frombuffer(counts, "<u8")[keep].tobytes()])
 
-    rows = sorted(totals.mapInArrow(run, PACKED_SQL).collect(), key=lambda r: r.bucket)
+    rows = sorted(map_arrow(totals, run, PACKED_SQL).collect(), key=lambda r: r.bucket)
     keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
     counts = [np.frombuffer(r["counts"], "<u8").astype(np.int64) for r in rows]
     return (np.concatenate(keys), np.concatenate(counts)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -134,7 +145,7 @@ def gathered_short(totals: DataFrame, least: int) -> tuple[np.ndarray, np.ndarra
                 most = np.maximum.reduceat(counts, starts) if len(keys) else counts
                 yield record(PACKED, [bucket], [keys[starts].tobytes()], [most.tobytes()])
 
-    rows = sorted(totals.mapInArrow(run, PACKED_SQL).collect(), key=lambda r: r.bucket)
+    rows = sorted(map_arrow(totals, run, PACKED_SQL).collect(), key=lambda r: r.bucket)
     if not rows:
         return np.zeros(0, np.uint32), np.zeros(0, np.uint8)
     keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
