@@ -4,11 +4,17 @@ The distinct pre-tokens of a batch lie end to end in one array of symbols.  In
 each round every pre-token finds its pair of lowest rank, and all of these
 pairs are merged at once; pre-tokens without a known pair leave.  What a
 pre-token has left at that point is its number of tokens.
+
+Long pre-tokens would need very many such rounds.  Their symbols are linked to
+their neighbours instead, and the places of pairs are filed by rank: a round
+takes the lowest rank of all, merges all its places at once, and looks up only
+the pairs that this made.
 """
 
 from __future__ import annotations
 
 import gc
+import heapq
 import json
 from operator import itemgetter
 
@@ -18,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .chunk_tokens import byte_letters, cut_before_spaces
+from .text_arrays import looked_up
 
 #: White space as Unicode defines it, and the published pattern spelt with it (fixed values).
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,19 +50,80 @@ class RankMerger:
         keys = np.array([vocabulary[a] * self.width + vocabulary[b] for a, b in merges], dtype=np.int64)
         made = np.array([vocabulary[a + b] for a, b in merges], dtype=np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.keys, self.ranks, self.made, self.made_by_rank = keys[order], order.astype(np.int64), made[order], made
 
-    def counts(self, words: list[bytes]) -> np.ndarray:
+    def counts(self, words: list[bytes], long_from: int = 512) -> np.ndarray:
         """Tokens of each pre-token."""
+        out = np.zeros(len(words), dtype=np.int64)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        for chosen, count in ((np.flatnonzero(size < long_from), self._by_rounds), (np.flatnonzero(size >= long_from), self._by_links)):
+            if len(chosen):
+                out[chosen] = count([words[i] for i in chosen])
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair among the merges, and whether it is one."""
+        return looked_up(self.keys, left.astype(np.int64) * self.width + right)
+
+    def _by_links(self, words: list[bytes]) -> np.ndarray:
+        symbols = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int32)
+        ends = np.cumsum([len(w) for w in words])
+        n = len(symbols)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[ends - 1] = before[np.append(0, ends[:-1])] = -1
+        current = np.full(n, -1, dtype=np.int32)  # rank of the pair that begins at a place
+        alive = np.ones(n, dtype=bool)
+        filed: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            """Looks up the pairs that begin at these places, and files them."""
+            places = places[after[places] >= 0]
+            at, known = self._pairs(symbols[places], symbols[after[places]])
+            current[places] = np.where(known, self.ranks[at], -1)
+            places, found = places[known], self.ranks[at[known]]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+            cuts = [*starts.tolist(), len(found)]
+            for rank, a, b in zip(found[starts].tolist(), cuts, cuts[1:]):
+                if rank not in filed:
+                    filed[rank] = []
+                    heapq.heappush(ranks, rank)
+                filed[rank].append(places[a:b])
+
+        for a in range(0, n, 1 << 20):
+            file(np.arange(a, min(a + (1 << 20), n), dtype=np.int32))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            lists = filed.pop(rank)
+            places = np.unique(np.concatenate(lists)) if len(lists) > 1 else np.sort(lists[0])
+            places = places[alive[places] & (current[places] == rank)]
+            if not len(places):
+                continue
+            # of pairs that overlap (one symbol again and again) every second, from the left
+            fresh = np.append(True, after[places[:-1]] != places[1:])
+            turn = np.arange(len(places))
+            places = places[(turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made_by_rank[rank]
+            alive[gone] = False
+            beyond = after[gone]
+            after[places] = beyond
+            before[beyond[beyond >= 0]] = places[beyond >= 0]
+            current[places] = -1
+            left = before[places]
+            file(np.unique(np.concatenate([places, left[left >= 0]])))
+        return np.add.reduceat(alive.astype(np.int64), np.append(0, ends[:-1]))
+
+    def _by_rounds(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         out = lengths.copy()
         symbols = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
         while len(symbols) > 1:
-            key = symbols[:-1] * self.width + symbols[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            known = (self.keys[at] == key) & (owner[:-1] == owner[1:])
+            at, known = self._pairs(symbols[:-1], symbols[1:])
+            known &= owner[:-1] == owner[1:]
             rank = np.append(np.where(known, self.ranks[at], _NONE), _NONE)
             starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             lengths = np.diff(np.append(starts, len(owner)))
@@ -162,4 +230,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return map_arrow(rows, run, "doc_id long, n_bytes long, n_tokens long")
