@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow_rows import partition_number, record
+from .arrow_rows import map_arrow, partition_number, record
 from .shared import Scratch
 
 _MATRIX = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("number", pa.int32()), ("ids", pa.binary()), ("values", pa.binary())])
@@ -61,7 +61,7 @@ def matrices(rows: DataFrame, tile_bytes: int = 4 << 20) -> DataFrame:
         for dim in list(held):
             yield packed(dim)
 
-    return rows.mapInArrow(run, _MATRIX_SQL)
+    return map_arrow(rows, run, _MATRIX_SQL)
 
 
 def products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
@@ -96,15 +96,15 @@ def top_k(vectors: DataFrame, query_every: int, k: int = 5, scale: float = 256.0
 
     Rows with the query's id are not its candidates.  Null ids, null vectors and vectors that hold
     null or non-finite components take no part; vectors of another dimension are no candidates; a
-    repeated row is a candidate as often as it occurs, and a repeated query is answered once.  Extra
-    columns are ignored; an empty table gives no rows.
+    repeated row is a candidate as often as it occurs; a query id is answered once, by the smallest
+    of its vectors if there are several.  Extra columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = quantized(vectors, scale, id_column, vector_column)
     shards = scratch.table(matrices(rows), "shards")
-    chosen = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).dropDuplicates(["vec_id"])
-    blocks = scratch.table(matrices(chosen).select("dim", F.col("ids").alias("query_ids"), F.col("values").alias("query_values")), "blocks")
+    chosen = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    blocks = scratch.table(matrices(chosen).select("dim", "part", "number", F.col("ids").alias("query_ids"), F.col("values").alias("query_values")), "blocks")
 
     def run(batches):
         lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -135,12 +135,16 @@ def top_k(vectors: DataFrame, query_every: int, k: int = 5, scale: float = 256.0
             yield record(_BEST, *columns, [partition_number() % spread] * sum(sizes))
             lists.clear()
 
-    # each shard meets every block: shards are dealt out over ``dealt`` keys, blocks go to all of them
-    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    left = shards.withColumn("deal", F.pmod(F.hash("part", "number"), F.lit(dealt)))
-    right = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
-    tiles = left.join(right, ["dim", "deal"]).select("dim", "ids", "values", "query_ids", "query_values")
-    lists = tiles.mapInArrow(run, "query_id long, vec_id long, score long, part int")
+    # every shard meets every block on a grid of tasks: shards are copied to its columns and blocks to its
+    # rows, with the sides in the proportion that moves the fewest bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, min(tasks, round((tasks * blocks.count() / max(shards.count(), 1)) ** 0.5)))
+    down = -(-tasks // across)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = shards.withColumn("down", F.pmod(F.hash("part", "number"), F.lit(down))).withColumn("across", every(across))
+    right = blocks.withColumn("across", F.pmod(F.hash("part", "number"), F.lit(across))).withColumn("down", every(down)).drop("part", "number")
+    tiles = left.join(right, ["dim", "down", "across"]).select("dim", "ids", "values", "query_ids", "query_values")
+    lists = map_arrow(tiles, run, "query_id long, vec_id long, score long, part int")
     for keys in (["query_id", "part"], ["query_id"]):
         w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
         lists = lists.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
