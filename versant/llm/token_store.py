@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .chunk_tokens import text_ids
 from .files import reader, writer
 from .shared import Scratch
@@ -214,11 +214,12 @@ class TokenStore:
                         at = last
 
         count = len(self.manifest)
-        return self.spark.range(0, count, 1, max(count, 1)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+        return map_arrow(self.spark.range(0, count, 1, max(count, 1)), run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None) -> TokenStore:
-    """Encodes whole texts, appends ``end_id`` to each and writes shards in ascending order of the id.
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None, shard_bytes: int = 512 << 20) -> TokenStore:
+    """Encodes whole texts, appends ``end_id`` to each and writes shards in ascending order of the id:
+    one for each ``shard_bytes`` of text, and one for each shuffle partition at least.
 
     Rows go to shards by range of (id, hash of the text), so an id that very many rows share fills
     several shards; rows with equal ids are in the order of that hash.  Null ids come first and
@@ -227,9 +228,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, width: int | None
     ended well enter the manifest, so repeated tasks leave no trace in it.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "token-store")
+    scratch = Scratch(spark, "token-store", keep=True)
     width = width or (2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.select(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
     folder = scratch.path("shards")
 
     def run(batches):
@@ -246,7 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, width: int | None
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     placed = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     placed = placed.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    manifest = scratch.table(placed.mapInArrow(run, "part int, path string, n_docs long, n_ids long, n_null long, first long, last long"), "manifest")
+    manifest = scratch.table(map_arrow(placed, run, "part int, path string, n_docs long, n_ids long, n_null long, first long, last long"), "manifest")
     found, start = [], 0
     for row in sorted(manifest.collect(), key=lambda r: r.part):
         found.append(row.asDict() | {"start": start})
