@@ -71,7 +71,7 @@ SELECT s.doc_id, len(set)::BIGINT AS n_shingles, component_id FROM s JOIN c ON s
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write_archives(read_table(spark, sf_dir, "pages"), Scratch(spark, "warc"), min_bytes=0)
-    return warc.read_archives(spark, [f["path"] for f in files]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .files import open_store, reader, writer
 from .shared import Scratch
 
@@ -81,31 +81,39 @@ def parse_record(data: bytes) -> tuple:
     return _page(field["WARC-Record-ID"]), _unquote(field.get("WARC-Target-URI")), kind, _page(field.get("WARC-Refers-To")), size, declared, payload if kind == "response" else None
 
 
-def _first_bytes(data: bytes) -> bytes | None:
+def is_record(data: bytes) -> bool | None:
+    """Whether a gzip member that begins ``data`` opens with a whole WARC header; None: more bytes are needed."""
     try:
-        return zlib.decompressobj(31).decompress(data, 16)
+        head = zlib.decompressobj(31).decompress(data, 1 << 16)
     except zlib.error:
-        return None
+        return False
+    if not b"WARC/1.".startswith(head[:7]):
+        return False
+    lines = head.partition(b"\r\n\r\n")
+    if not lines[1]:
+        return None if len(head) < 1 << 16 else False
+    names = {line.partition(b":")[0].strip().lower() for line in lines[0].split(b"\r\n")[1:]}
+    return {b"warc-type", b"warc-record-id", b"content-length"} <= names
 
 
 def read_range(path: str, start: int, end: int, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """Unpacked records whose member begins in [start, end)."""
+    """Unpacked records whose member begins in [start, end).  A member that has a WARC header but
+    doesn't unpack to its end is damage, an error; all other finds of the magic are passed over."""
     file = reader(path)
     size = file.size()
-    at, buffer, base = start, b"", start
+    at, buffer, base = start, bytearray(), start  # buffer: the bytes of the file from base on
 
-    def fill(until: int) -> bool:
-        nonlocal buffer
+    def fill(until: int) -> None:
         while base + len(buffer) < min(until, size):
             more = file.read_at(min(chunk, size - base - len(buffer)), base + len(buffer))
             if not more:
-                return False
-            buffer += more
-        return base + len(buffer) >= min(until, size)
+                return
+            buffer.extend(more)
 
     while at < end:
         if at - base > chunk:
-            buffer, base = buffer[at - base :], at
+            del buffer[: at - base]
+            base = at
         fill(at + 2 * len(_MAGIC))
         found = buffer.find(_MAGIC, at - base)
         if found < 0:
@@ -117,15 +125,22 @@ def read_range(path: str, start: int, end: int, chunk: int = 1 << 20) -> Iterato
         at = base + found
         if at >= end:
             return
-        fill(at + 4096)
-        if not (_first_bytes(buffer[found : found + 4096]) or b"").startswith(b"WARC/1."):
+        ahead, sound = 4096, None
+        while sound is None:
+            fill(at + ahead)
+            sound = is_record(bytes(buffer[found : found + ahead]))
+            if sound is None and base + len(buffer) >= size and found + ahead >= len(buffer):
+                sound = False
+            ahead *= 4
+        if not sound:
             at += 1
             continue
         unpacker, parts, place = zlib.decompressobj(31), [], found
         while not unpacker.eof:
-            if place >= len(buffer) and not (fill(base + len(buffer) + chunk) and place < len(buffer)):
+            fill(base + place + chunk)
+            piece = bytes(buffer[place : place + chunk])
+            if not piece:
                 raise ValueError(f"{path} ends inside a record")
-            piece = buffer[place : place + chunk]
             parts.append(unpacker.decompress(piece))
             place += len(piece) - len(unpacker.unused_data)
         at = base + place
@@ -153,8 +168,8 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, archi
     """Writes a record for each row; returns path, size and records of each archive.
 
     Of records with equal payloads of at least ``min_bytes`` those with the smallest id are
-    responses, the others revisits of that id; a null payload is empty; a null id is written
-    as such and never referred to.  Tasks name their archives anew, and only those of tasks
+    responses (repeated rows of that id each), the others revisits of that id; a null payload is
+    empty; a null id is written as such and never referred to.  Tasks name their archives anew, and only those of tasks
     that ended well are returned.
     """
     folder = scratch.path("archives")
@@ -181,25 +196,27 @@ def write_archives(pages: DataFrame, scratch: Scratch, min_bytes: int = 0, archi
             yield record(_FILES, *zip(*done))
 
     rows = with_references(pages, scratch, min_bytes, id_column, url_column, html_column)
-    written = scratch.table(rows.mapInArrow(run, "path string, size long, records long"), "files")
+    written = scratch.table(map_arrow(rows, run, "path string, size long, records long"), "files")
     return [r.asDict() for r in written.collect()]
 
 
-def read_archives(spark: SparkSession, files: list[str], split_bytes: int = 16 << 20) -> DataFrame:
+def read_archives(spark: SparkSession, files: list, split_bytes: int = 16 << 20) -> DataFrame:
     """One row for each record of the archives, read in ranges of ``split_bytes``: page_id, url,
-    record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits)."""
-    ranges = []
-    for path in files:
-        store, inner = open_store(path)
-        size = store.get_file_info(inner).size
-        ranges += [(path, a, min(a + split_bytes, size)) for a in range(0, size, split_bytes)]
-    shared = spark.sparkContext.broadcast(ranges)
+    record_type, refers_to, payload_bytes, payload_digest and payload (null for revisits).
+    ``files``: what ``write_archives`` returns, or paths, whose sizes Spark's file listing gives."""
+    known = [(f["path"], f["size"]) for f in files if not isinstance(f, str)]
+    paths = [f for f in files if isinstance(f, str)]
+    listed = spark.createDataFrame(known, "path string, size long")
+    if paths:
+        listed = listed.union(spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size")))
+    ranges = listed.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    count = ranges.count()
 
     def run(batches):
         for batch in batches:
-            for n in batch.column(0).to_pylist():
+            for path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
                 found, held = [], 0
-                for data in read_range(*shared.value[n]):
+                for data in read_range(path, start, min(start + split_bytes, size)):
                     found.append(parse_record(data))
                     held += len(data)
                     if held > 8 << 20:
@@ -208,4 +225,4 @@ def read_archives(spark: SparkSession, files: list[str], split_bytes: int = 16 <
                 if found:
                     yield record(_READ, *zip(*found))
 
-    return spark.range(0, len(ranges), 1, max(1, len(ranges))).mapInArrow(run, _READ_SQL)
+    return map_arrow(ranges.repartition(max(count, 1)), run, _READ_SQL)
