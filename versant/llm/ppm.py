@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_rows import record, slices
+from .arrow_rows import map_arrow, record, slices
 from .shared import Scratch, id_remainder
-from .tallies import PACKED, PACKED_SQL, count_histogram, gathered, partial_tallies, threshold_for, total_tallies
+from .tallies import PACKED, PACKED_SQL, bucket_count, count_histogram, gathered, partial_tallies, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, looked_up, summed
 
 END, GAP = 10, 32
@@ -161,10 +161,11 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
         raise ValueError("order must be 2 to 5")
     spark = docs.sparkSession
     scratch = Scratch(spark, "ppm")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), (id_remainder(id_column, modulus) == remainder).alias("held_out"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     training = rows.filter(~F.col("held_out")).select("text")
 
+    buckets = bucket_count(rows)
+
     def word_keys(part):
         yield Words(part.column(part.num_columns - 1)).hashes
 
@@ -175,7 +176,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
     strings = scratch.table(total_tallies(partial_tallies(training, gram_keys, buckets, slice_bytes=2 << 20), buckets), "strings")
     histogram, deep = count_histogram(words), count_histogram(strings)
     n_rows = training.count()
-    totals = words.mapInArrow(_sums, "n long, v long").groupBy().sum("n", "v").first()
+    totals = map_arrow(words, _sums, "n long, v long").groupBy().sum("n", "v").first()
     n, v = (totals[0] or 0) + n_rows, (totals[1] or 0) + (n_rows > 0)
     common_from = threshold_for(histogram, max_words)
     common = spark.sparkContext.broadcast(gathered(words, common_from))
@@ -227,7 +228,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, order
         return values
 
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.table(numbered.mapInArrow(run, _SCORED_SQL), "scored")
+    scored = scratch.table(map_arrow(numbered, run, _SCORED_SQL), "scored")
     rare = _exchanged(scored.select("row", "strings", "strings_n"), strings, buckets, string_values).select("row", F.lit(0.0).alias("rare_base"), F.lit(0).cast("long").alias("rare_known"), F.col("value").alias("rare_score"))
     if not whole_vocabulary:
         rare = rare.unionByName(_exchanged(scored.select("row", "tail", "tail_n"), words, buckets, word_values).select("row", F.col("value").alias("rare_base"), F.col("known").alias("rare_known"), F.lit(0.0).alias("rare_score")))
@@ -260,7 +261,7 @@ def _common_values(strings: DataFrame, least: int) -> tuple[np.ndarray, np.ndarr
                 values = np.log10((counts[keep] - 0.5) / total[keep])
                 yield record(schema, [bucket], [keys[keep].tobytes()], [counts[keep].astype("<u8").tobytes()], [values.astype("<f8").tobytes()])
 
-    rows = sorted(strings.mapInArrow(run, PACKED_SQL + ", values binary").collect(), key=lambda r: r.bucket)
+    rows = sorted(map_arrow(strings, run, PACKED_SQL + ", values binary").collect(), key=lambda r: r.bucket)
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("keys", "<u8"), ("counts", "<i8"), ("values", "<f8")))
@@ -275,7 +276,7 @@ def _lowest_levels(strings: DataFrame) -> list[Level]:
             for keys, counts in zip(*(c.to_pylist() for c in batch.columns[1:])):
                 yield record(schema, *summed(np.frombuffer(keys, "<u8") & np.uint64(0xFFFF), np.frombuffer(counts, "<u8")))
 
-    found = sorted((r[0], r[1]) for r in strings.mapInArrow(run, "string long, n long").groupBy("string").sum("n").collect())
+    found = sorted((r[0], r[1]) for r in map_arrow(strings, run, "string long, n long").groupBy("string").sum("n").collect())
     return Trie(np.array([s for s, _ in found], np.uint64), np.array([n for _, n in found], np.int64), 1).levels
 
 
@@ -344,7 +345,7 @@ def _exchanged(asking: DataFrame, table: DataFrame, buckets: int, values_by: Cal
                 yield record(answer_schema, each, np.bincount(inverse, weights=numbers * values), np.bincount(inverse, weights=numbers * known).astype(np.int64))
 
     names = asking.columns
-    asked = asking.filter(F.octet_length(names[1]) > 0).mapInArrow(ask, PACKED_SQL + ", rows binary")
+    asked = map_arrow(asking.filter(F.octet_length(names[1]) > 0), ask, PACKED_SQL + ", rows binary")
     both = table.withColumn("rows", F.lit(None).cast("binary")).unionByName(asked)
-    dealt = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("rows").isNotNull())
-    return dealt.mapInArrow(answer, "row long, value double, known long")
+    dealt = both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", F.col("rows").isNotNull())
+    return map_arrow(dealt, answer, "row long, value double, known long")
