@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .arrow_rows import map_arrow, record, slices
 from .components import connected_components
 from .shared import Scratch
-from .tallies import bucket_count, count_histogram, gathered_short, packed_rows, threshold_for, total_tallies
+from .tallies import PACKED, PACKED_SQL, bucket_count, count_histogram, gathered, gathered_short, packed, packed_rows, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, merged_counts, mix, shingle_sets, summed
 
 #: Part of the hash space of shingles, from 0, for which documents are counted.
@@ -50,16 +50,18 @@ _COUNTED = np.uint64(1 << 62)
 #: Place in the order of shingles that aren't counted.
 _UNCOUNTED = 8
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_SCAN_SQL = "doc_id long, n long, key binary, bucket int, keys binary, counts binary"
-_POSTED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64()))])
-_POSTED_SQL = "doc_id long, key binary, posts array<long>"
-_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("shingles", pa.binary())])
-_SETS_SQL = "doc_id long, key binary, n long, shingles binary"
+_POSTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64()))])
+_POSTED_SQL = "doc_id long, n long, key binary, posts array<long>"
+_SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("shingles", pa.binary())])
+_SETS_SQL = "doc_id long, key binary, shingles binary"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BITS = pa.schema([("bits", pa.binary())])
 #: Most bits of the filter of group members, whatever their number.
 _MOST_BITS = 1 << 27
+#: Sets of this size or more can't be light, as their subsets are too many.
+_LIGHTEST = 64
+#: In place of a bucket's number: counts of set sizes.
+_SIZES = -1
 
 
 def least_overlap(a: int, b: int, num: int, den: int) -> int:
@@ -77,7 +79,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def boundary(sizes: dict[int, int], list_cost: float, num: int, den: int, largest: int = 64) -> int:
+def boundary(sizes: dict[int, int], list_cost: float, num: int, den: int, largest: int = _LIGHTEST) -> int:
     """Sets below the returned size are light: the size with the least total of subsets to enumerate
     and list entries to scan, list_cost for each of a heavy set's lists."""
     light = lambda n: sum(comb(n, c) for c in subset_sizes(n, num, den))
@@ -104,35 +106,36 @@ def subset_keys(shingles: np.ndarray, num: int, den: int) -> list[int]:
 
 
 def scan(docs: DataFrame, k: int, buckets: int, hold: int = 1_000_000) -> DataFrame:
-    """One pass over the texts: a row (doc_id, n, key) for each document, and packed counts of the
-    documents that hold each shingle of the counted part of the hash space."""
+    """First pass: packed counts of the documents that hold each shingle of the counted part of the hash
+    space, and under bucket ``_SIZES`` packed counts of the set sizes up to ``_LIGHTEST``."""
 
     def run(batches):
         keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        sizes = np.zeros(_LIGHTEST + 1, dtype=np.int64)
 
-        def packed():
+        def out():
             found = list(packed_rows(keys << np.uint64(2), counts, buckets))
-            none = [None] * len(found)
-            return [record(_SCAN, none, none, none, *zip(*found))] if found else []
+            if found:
+                yield record(PACKED, *zip(*found))
 
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(Words(part.column(1)), k)
-                none = [None] * len(sets)
-                yield record(_SCAN, part.column(0), [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], none, none, none)
+                sets = shingle_sets(Words(part.column(0)), k)
+                sizes += np.bincount(np.minimum([len(s) for s in sets], _LIGHTEST), minlength=_LIGHTEST + 1)
                 counted = np.concatenate([s[: np.searchsorted(s, _COUNTED)] for s in sets])
                 keys, counts = merged_counts(keys, counts, *summed(counted))
                 if len(keys) >= hold:
-                    yield from packed()
+                    yield from out()
                     keys, counts = keys[:0], counts[:0]
-        yield from packed()
+        yield from out()
+        yield record(PACKED, [_SIZES], *([x] for x in packed(np.arange(_LIGHTEST + 1, dtype=np.uint64), sizes)))
 
-    return map_arrow(docs, run, _SCAN_SQL)
+    return map_arrow(docs.select("text"), run, PACKED_SQL)
 
 
 def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: tuple[np.ndarray, np.ndarray], known_from: int) -> DataFrame:
-    """Second pass: the keys of each document.  Shingles that are counted and have but
-    one document are in no list of two, and documents without other keys give no row."""
+    """Second pass: number of shingles, key of the set, and posts: the keys by which each document meets
+    others.  Shingles that are counted and have but one document are in no list of two."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def keys_of(shingles: np.ndarray, find: Lookup, seen: np.ndarray) -> list[int]:
@@ -155,12 +158,9 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
         find = Lookup(table, seen)
         for batch in batches:
             for part in slices(batch):
-                rows = []
-                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(Words(part.column(1)), k)):
-                    if doc is not None and len(s) and (posts := keys_of(s, find, seen)):
-                        rows.append((doc, xxhash.xxh3_128_digest(s.tobytes()), np.array(posts, dtype=np.uint64).view(np.int64)))
-                if rows:
-                    yield record(_POSTED, *zip(*rows))
+                sets, ids = shingle_sets(Words(part.column(1)), k), part.column(0).to_pylist()
+                posts = [np.array(keys_of(s, find, seen), dtype=np.uint64).view(np.int64) if doc is not None and len(s) else None for doc, s in zip(ids, sets)]
+                yield record(_POSTED, ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], posts)
 
     return map_arrow(docs, run, _POSTED_SQL)
 
@@ -201,7 +201,7 @@ def sets_of(docs: DataFrame, k: int, members: np.ndarray) -> DataFrame:
                 part = part.filter(pa.array(may))
                 if part.num_rows:
                     sets = shingle_sets(Words(part.column(1)), k)
-                    yield record(_SETS, part.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets])
+                    yield record(_SETS, part.column(0), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.tobytes() for s in sets])
 
     return map_arrow(docs.select("doc_id", "text"), run, _SETS_SQL)
 
@@ -349,55 +349,54 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     buckets = bucket_count(rows)
 
-    scanned = scratch.table(scan(rows, k, buckets), "scanned")
-    members = scanned.filter("bucket is null").select("doc_id", "n", "key")
-    totals = scratch.table(total_tallies(scanned.filter("bucket is not null").select("bucket", "keys", "counts"), buckets, least=2), "totals")
-    seen = count_histogram(totals)
+    totals = scratch.table(total_tallies(scan(rows, k, buckets), buckets, least=2), "totals")
+    shingles = totals.filter(F.col("bucket") != _SIZES)
+    seen = count_histogram(shingles)
     known_from = threshold_for(seen, max_known, least=2)
-    keys, counts = gathered_short(totals, known_from)
-    sizes = {r["n"]: r["rows"] for r in members.filter("n between 1 and 64").groupBy("n").agg(F.count("*").alias("rows")).collect()}
+    keys, counts = gathered_short(shingles, known_from)
+    light, many = gathered(totals.filter(F.col("bucket") == _SIZES), 1)
     listed = sum(c * n for c, n in seen.items())
     list_cost = max(1.0, sum(min(c, 1 << 20) ** 2 * n for c, n in seen.items()) / listed) if listed else 1.0
-    light_below = boundary(sizes, list_cost, num, den)
+    light_below = boundary(dict(zip(light.tolist(), many.tolist())), list_cost, num, den)
 
     posted = scratch.table(post(rows, k, num, den, light_below, (keys, counts), known_from), "posted")
-    classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"))
+    scratch.drop("totals")
+    members = posted.select("doc_id", "n", "key")
+    classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
     classes = scratch.table(classes, "classes")
     one = classes.select(F.col("key").alias("class_key"), "node")
-    mine = posted.join(one, (posted["doc_id"] == one["node"]) & (posted["key"] == one["class_key"]))
+    posts = posted.filter(F.size("posts") > 0).select("doc_id", "key", "posts")
+    mine = posts.join(one, (posts["doc_id"] == one["node"]) & (posts["key"] == one["class_key"]))
     entries = scratch.table(mine.select("node", F.explode("posts").alias("post")), "entries")
-    scratch.drop("totals", "posted")
     hubs = scratch.table(entries.groupBy("post").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select(F.col("post").alias("hub_post"), "hub"), "hubs")
     stars = entries.join(hubs, entries["post"] == hubs["hub_post"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    groups = scratch.table(connected_components(stars, scratch, "groups").withColumnRenamed("component", "group"), "groups")
+    groups = connected_components(stars, scratch, "groups").select(F.col("component").alias("group"), F.col("node").alias("grouped_node"))
     scratch.drop("entries", "hubs")
 
-    keyed = groups.join(classes.withColumnRenamed("node", "class_node"), F.col("node") == F.col("class_node")).select("group", "node", "key")
-    keyed = scratch.table(keyed, "keyed")
-    found = sets_of(rows, k, member_filter(keyed, "node"))
-    # an id may stand for several texts; the key tells which of them is the member
-    mine = keyed.withColumnRenamed("key", "member_key")
-    grouped = found.join(mine, (found["doc_id"] == mine["node"]) & (found["key"] == mine["member_key"])).select("group", "node", "n", "shingles")
-    grouped = scratch.table(grouped, "grouped")
-    scratch.drop("groups", "keyed")
-    grouped = grouped.withColumn("level", size_level(F.col("n"), num, den))
-    weights = scratch.table(block_ranges(grouped, tile_shingles, tile_sets), "weights")
+    # tiles are laid out by the sets' sizes alone; the sets then move to them at once
+    sized = groups.join(classes, F.col("grouped_node") == F.col("node")).select("group", "node", F.col("key").alias("member_key"), "n", size_level(F.col("n"), num, den).alias("level"))
+    sized = scratch.table(sized, "sized")
+    scratch.drop("groups-*")
+    weights = scratch.table(block_ranges(sized, tile_shingles, tile_sets), "weights")
     small = weights.filter("whole").agg(F.sum("weight")).first()[0] or 0
     packs = max(4 * buckets, -(-small // (1 << 17)))
     w = weights.select(F.col("group").alias("weighed"), F.col("level").alias("weighed_level"), "whole", "blocks", "first", "low", "high")
-    placed = grouped.join(w, (F.col("group") == F.col("weighed")) & (F.col("level") == F.col("weighed_level")))
-    placed = placed.withColumn("block", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks").cast("long"))))
+    placed = sized.join(w, (F.col("group") == F.col("weighed")) & (F.col("level") == F.col("weighed_level")))
+    block = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
     pack = F.when(F.col("whole"), F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
-    others = F.when(F.col("whole"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col("low"), F.col("high") - 1))
-    tiled = placed.withColumn("pack", pack).withColumn("other", F.explode(others))
+    low, high = (F.when(F.col("whole"), F.lit(n).cast("long")).otherwise(F.col(c)) for n, c in ((0, "low"), (1, "high")))
+    placed = scratch.table(placed.select("node", "member_key", "group", pack.alias("pack"), block.alias("block"), low.alias("low"), high.alias("high")), "placed")
+    scratch.drop("sized", "weights")
+    found = sets_of(rows, k, member_filter(placed, "node"))
+    # an id may stand for several texts; the key tells which of them is the member
+    tiled = found.join(placed, (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("member_key"))).withColumn("other", F.explode(F.sequence("low", F.col("high") - 1)))
     tiled = tiled.select("pack", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "group", "block", "node", "shingles")
     links = scratch.table(tiled.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, num, den), "a long, b long"), "links")
-    scratch.drop("grouped", "weights")
 
     linked = connected_components(links, scratch, "linked").withColumnRenamed("node", "linked_node")
     named = classes.join(linked, classes["node"] == linked["linked_node"], "left").select(F.col("key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     named = scratch.table(named, "named")
-    scratch.drop("classes", "links", "linked-*", "groups-*")
+    scratch.drop("classes", "placed", "links", "linked-*")
     joined = members.join(named, members["key"] == named["class_key"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -32,13 +32,31 @@ def bucket_count(rows: DataFrame, text_column: str = "text") -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers byte by byte, all lowest bytes first: zero bytes lie together and compress away."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending keys as planes of their steps, and planes of the counts."""
+    return planes(np.diff(keys, prepend=np.uint64(0))), planes(counts)
+
+
+def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(from_planes(keys), dtype=np.uint64), from_planes(counts).astype(np.int64)
+
+
 def packed_rows(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
     """Sorted keys cut into ranges of the 64-bit key space."""
     edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
     cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
         if j > i:
-            yield b, keys[i:j].astype("<u8").tobytes(), counts[i:j].astype("<u8").tobytes()
+            yield b, *packed(keys[i:j], counts[i:j])
 
 
 def partial_tallies(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterable[np.ndarray]], buckets: int, slice_bytes: int = 4 << 20, hold: int = 1_000_000) -> DataFrame:
@@ -77,13 +95,13 @@ def total_tallies(partial: DataFrame, buckets: int, least: int = 1) -> DataFrame
         for batch in batches:
             for bucket, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 parts = held.setdefault(bucket, [])
-                parts.append((np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<u8").astype(np.int64)))
+                parts.append(unpacked(keys, counts))
                 if sum(len(k) for k, _ in parts[1:]) > max(1 << 20, len(parts[0][0])):
                     held[bucket] = [merged(parts)]
         for bucket, parts in held.items():
             keys, counts = merged(parts)
             keep = counts >= least
-            yield record(PACKED, [bucket], [keys[keep].tobytes()], [counts[keep].tobytes()])
+            yield record(PACKED, [bucket], [keys[keep].tobytes()], [counts[keep].astype("<u8").tobytes()])
 
     return map_arrow(partial.repartitionById(buckets, F.col("bucket")), run, PACKED_SQL)
 
