@@ -39,10 +39,25 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     numbered = scratch.table(plain.withColumn("row_number", F.monotonically_increasing_id()), "numbered")
     links = jaccard_join.link_documents(numbered, k=5, num=80, den=100, id_column="row_number", text_column=text).select(F.col("doc_id").alias("linked"), "component_id")
     ids = numbered.select("row_number", F.col(doc_id).alias("id"))
-    grouped = ids.join(links, F.col("row_number") == F.col("linked")).groupBy("component_id")
-    first = grouped.agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_number")).alias("first"))
-    first = scratch.table(first.select(F.col("first.row_number").alias("first_row")), "first")
-    return numbered.join(first, F.col("row_number") == F.col("first_row"), "left_semi").drop("row_number").toDF(*docs.columns)
+    grouped = scratch.table(ids.join(links, F.col("row_number") == F.col("linked")).select("row_number", "id", "component_id"), "grouped")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_number")).alias("first"), F.count("*").alias("rows"))
+    first = first.filter("rows > 1").select(F.col("component_id").alias("group"), F.col("first.row_number").alias("first_row"))
+    copies = grouped.join(first, F.col("component_id") == F.col("group")).filter("row_number <> first_row").select("row_number")
+    return without_rows(numbered, scratch.table(copies, "copies"), "row_number").drop("row_number").toDF(*docs.columns)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, number: str, most_slots: int = 1 << 21) -> DataFrame:
+    """``docs`` without the rows whose ``number`` is in ``gone``.  The hashed slots of these numbers, at most
+    ``most_slots``, go to every task; only rows that fall into one of them are joined, so texts that
+    certainly stay aren't shuffled."""
+    slots = 1 << 10
+    while slots < min(64 * gone.count(), most_slots):
+        slots *= 2
+    slot = F.pmod(F.xxhash64(number), F.lit(slots)).cast("int")
+    taken = F.broadcast(gone.select(slot.alias("taken")).distinct())
+    sure = docs.join(taken, slot == F.col("taken"), "left_anti")
+    maybe = docs.join(taken, slot == F.col("taken"), "left_semi")
+    return sure.union(maybe.join(gone, number, "left_anti").select(*docs.columns))
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
