@@ -17,7 +17,8 @@ from .shared import Scratch
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, component (smallest node reachable) for the nodes of ``edges`` (a long, b long)."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.filter("a <> b").select(F.explode(ways).alias("way")).select("way.a", "way.b")
     links = scratch.table(both.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), f"{name}-links")
     labels = scratch.table(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), f"{name}-labels-0")
     turn = 0

@@ -18,11 +18,13 @@ are found through keys that two linked sets must share:
 
 Members of a list form a star; stars that overlap form groups; all pairs that
 can link lie in one group.  Large groups are cut by set size into blocks of a
-bounded number of shingles; every pair of blocks whose sizes can link is a tile
-of its own, so a group of any size is spread over many tasks.  In a tile, parity
-bitmaps bound the overlap of two sets from above (a matrix product over +1 and
--1, for chunks of rows of like size), pairs that pass are compared shingle by
-shingle, and pairs already connected are skipped.
+bounded number of rows; every pair of blocks whose sizes can link is a tile of
+its own, so a group of any size is spread over many tasks.  This is done twice.
+First only sizes and parity bitmaps move, which bound the overlap of two sets
+from above (a matrix product over +1 and -1, for chunks of rows of like size);
+the pairs that pass make smaller groups.  Then the sets of those move, pairs
+that pass again are compared shingle by shingle, and pairs already connected
+are skipped.
 A tile gives a spanning forest of its links, never all pairs.
 """
 
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -50,14 +53,16 @@ _COUNTED = np.uint64(1 << 62)
 #: Place in the order of shingles that aren't counted.
 _UNCOUNTED = 8
 
-_POSTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64()))])
-_POSTED_SQL = "doc_id long, n long, key binary, posts array<long>"
+_POSTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("posts", pa.list_(pa.int64())), ("parities", pa.binary())])
+_POSTED_SQL = "doc_id long, n long, key binary, posts array<long>, parities binary"
 _SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("shingles", pa.binary())])
 _SETS_SQL = "doc_id long, key binary, shingles binary"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _BITS = pa.schema([("bits", pa.binary())])
 #: Most bits of the filter of group members, whatever their number.
 _MOST_BITS = 1 << 27
+#: Most bits of a set's parities.
+_MOST_PARITIES = 1 << 15
 #: Sets of this size or more can't be light, as their subsets are too many.
 _LIGHTEST = 64
 #: In place of a bucket's number: counts of set sizes.
@@ -134,8 +139,8 @@ def scan(docs: DataFrame, k: int, buckets: int, hold: int = 1_000_000) -> DataFr
 
 
 def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: tuple[np.ndarray, np.ndarray], known_from: int) -> DataFrame:
-    """Second pass: number of shingles, key of the set, and posts: the keys by which each document meets
-    others.  Shingles that are counted and have but one document are in no list of two."""
+    """Second pass: number of shingles, key of the set, posts (the keys by which each document meets
+    others) and the bitmap of parities.  Shingles that are counted and have but one document are in no list of two."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def keys_of(shingles: np.ndarray, find: Lookup, seen: np.ndarray) -> list[int]:
@@ -160,7 +165,8 @@ def post(docs: DataFrame, k: int, num: int, den: int, light_below: int, known: t
             for part in slices(batch):
                 sets, ids = shingle_sets(Words(part.column(1)), k), part.column(0).to_pylist()
                 posts = [np.array(keys_of(s, find, seen), dtype=np.uint64).view(np.int64) if doc is not None and len(s) else None for doc, s in zip(ids, sets)]
-                yield record(_POSTED, ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], posts)
+                bitmaps = [parities(s, num, den).tobytes() if p is not None and len(p) else None for s, p in zip(sets, posts)]
+                yield record(_POSTED, ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], posts, bitmaps)
 
     return map_arrow(docs, run, _POSTED_SQL)
 
@@ -230,89 +236,109 @@ class Forest:
             self.parent = up
 
 
+def parities(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A packed bitmap: for each value of the lowest bits of a shingle, whether an odd number of shingles has
+    it.  Two bitmaps differ in no more places than there are shingles that only one of the two sets has.
+    There are 8 bits or more for each shingle by which a linked set may differ, up to a fixed number."""
+    bits = 256
+    while bits < min(16 * len(shingles) * (den - num) // (den + num), _MOST_PARITIES):
+        bits *= 2
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
 class Parities:
-    """Rows of sets by size, in chunks, with a bitmap of shingle parities for each row.  The bits of a
-    chunk follow its largest set, and one chunk is made at a time, so one long set costs its own chunk only."""
+    """Rows by size, in chunks of a bounded number of bits; the bitmaps of a chunk are folded to its least width."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, num: int, den: int, chunk: int):
+    def __init__(self, bitmaps: list[np.ndarray], sizes: np.ndarray, rows: np.ndarray, chunk: int):
         rows = rows[np.argsort(sizes[rows], kind="stable")]
-        self.rows = [rows[i : i + chunk] for i in range(0, len(rows), chunk)]
+        step = max(1, min(chunk, (1 << 22) // (8 * len(bitmaps[rows[-1]]))))
+        self.rows = [rows[i : i + step] for i in range(0, len(rows), step)]
         self.least, self.most = [int(sizes[r[0]]) for r in self.rows], [int(sizes[r[-1]]) for r in self.rows]
-        self.bits, self._packed = [], []
-        for part, most in zip(self.rows, self.most):
-            bits = 256
-            while bits < min(16 * most * (den - num) // (den + num), 8192):
-                bits *= 2
-            places = (np.concatenate([sets[r] for r in part]) & np.uint64(bits - 1)).astype(np.int64)
-            places += np.repeat(np.arange(len(part)) * bits, sizes[part])
-            parity = (np.bincount(places, minlength=len(part) * bits) & 1).astype(np.uint8)
-            self.bits.append(bits)
-            self._packed.append(np.packbits(parity.reshape(len(part), bits), axis=1))
-
-    def signs(self, n: int, bits: int) -> np.ndarray:
-        """+1 and -1 for the rows of chunk ``n``, folded to so many bits."""
-        packed = np.bitwise_xor.reduce(self._packed[n].reshape(len(self.rows[n]), -1, bits // 8), axis=1)
-        return np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+        self.widths = [min(len(bitmaps[r]) for r in part) for part in self.rows]
+        self._packed = [np.stack([_folded(bitmaps[r][None, :], w)[0] for r in part]) for part, w in zip(self.rows, self.widths)]
 
+    def signs(self, n: int, width: int) -> np.ndarray:
+        """+1 and -1 for the rows of chunk ``n``, folded to so many bytes of bits."""
+        return np.unpackbits(_folded(self._packed[n], width), axis=1).astype(np.float32) * 2 - 1
 
-def linking_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, num: int, den: int, chunk: int = 512) -> list[tuple[int, int]]:
-    """Spanning forest of the links between rows of ``left`` and ``right``, or within ``left``."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    forest, links = Forest(len(sets)), []
-    mine = Parities(sets, sizes, left, num, den, chunk)
-    theirs = mine if right is None else Parities(sets, sizes, right, num, den, chunk)
+
+def _folded(packed: np.ndarray, width: int) -> np.ndarray:
+    return packed if packed.shape[1] == width else np.bitwise_xor.reduce(packed.reshape(len(packed), -1, width), axis=1)
+
+
+def possible_pairs(mine: Parities, theirs: Parities, sizes: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that may link as far as sizes and parities tell, chunk by chunk; within one side each pair once."""
     for i, a in enumerate(mine.rows):
-        for j in range(i if right is None else 0, len(theirs.rows)):
+        for j in range(i if mine is theirs else 0, len(theirs.rows)):
             b = theirs.rows[j]
             if mine.most[i] * den < theirs.least[j] * num or theirs.most[j] * den < mine.least[i] * num:
                 continue
-            bits = min(mine.bits[i], theirs.bits[j])
-            apart = (bits - mine.signs(i, bits) @ theirs.signs(j, bits).T) / 2  # no more than the shingles that only one of the two has
-            both = sizes[a][:, None] + sizes[b][None, :]
-            able = (apart * (num + den) <= both * (den - num)) & (np.minimum(sizes[a][:, None], sizes[b][None, :]) * den >= np.maximum(sizes[a][:, None], sizes[b][None, :]) * num)
+            width = min(mine.widths[i], theirs.widths[j])
+            apart = (8 * width - mine.signs(i, width) @ theirs.signs(j, width).T) / 2  # no more than the shingles that only one of the two has
+            one, other = sizes[a][:, None], sizes[b][None, :]
+            able = (apart * (num + den) <= (one + other) * (den - num)) & (np.minimum(one, other) * den >= np.maximum(one, other) * num)
             x, y = np.nonzero(able)
             x, y = a[x], b[y]
-            if right is None and i == j:
+            if mine is theirs and i == j:
                 x, y = x[x < y], y[x < y]
-            while len(x):
-                roots = forest.roots()
-                open_ = roots[x] != roots[y]
-                x, y = x[open_], y[open_]
-                # one partner of each row, then look again which pairs are still open
-                _, now = np.unique(x, return_index=True)
-                for p, q in zip(x[now].tolist(), y[now].tolist()):
-                    if forest.find(p) != forest.find(q):
-                        common = sizes[p] + sizes[q] - len(np.union1d(sets[p], sets[q]))
-                        if den * common >= num * (sizes[p] + sizes[q] - common):
-                            forest.join(p, q)
-                            links.append((p, q))
-                rest = np.ones(len(x), dtype=bool)
-                rest[now] = False
-                x, y = x[rest], y[rest]
+            yield x, y
+
+
+def spanning_pairs(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Spanning forest over 0..n-1 of those pairs that are ``linked``, which connected pairs aren't asked for."""
+    forest, links = Forest(n), []
+    for x, y in pairs:
+        while len(x):
+            roots = forest.roots()
+            open_ = roots[x] != roots[y]
+            x, y = x[open_], y[open_]
+            # one partner of each row, then look again which pairs are still open
+            _, now = np.unique(x, return_index=True)
+            for p, q in zip(x[now].tolist(), y[now].tolist()):
+                if forest.find(p) != forest.find(q) and linked(p, q):
+                    forest.join(p, q)
+                    links.append((p, q))
+            rest = np.ones(len(x), dtype=bool)
+            rest[now] = False
+            x, y = x[rest], y[rest]
     return links
 
 
-def solve_tile(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links (a, b) within one tile: within each group, between its two blocks."""
+def linking_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, num: int, den: int, chunk: int = 512) -> list[tuple[int, int]]:
+    """Spanning forest of the links between rows of ``left`` and ``right``, or within ``left``."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+
+    def linked(p: int, q: int) -> bool:
+        common = sizes[p] + sizes[q] - len(np.union1d(sets[p], sets[q]))
+        return den * common >= num * (sizes[p] + sizes[q] - common)
+
+    return _between([parities(s, num, den) for s in sets], sizes, left, right, num, den, chunk, linked)
+
+
+def _between(bitmaps, sizes, left, right, num, den, chunk, linked) -> list[tuple[int, int]]:
+    mine = Parities(bitmaps, sizes, left, chunk)
+    theirs = mine if right is None else Parities(bitmaps, sizes, right, chunk)
+    return spanning_pairs(len(sizes), possible_pairs(mine, theirs, sizes, num, den), linked)
+
+
+def near_pairs(bitmaps: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray | None, num: int, den: int, chunk: int = 512) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that may link, as far as sizes and parities tell."""
+    return _between(bitmaps, sizes, left, right, num, den, chunk, lambda p, q: True)
+
+
+def solve_tile(table: pa.Table, solve: Callable) -> pa.Table:
+    """Pairs (a, b) of nodes within one tile: within each group, between its two blocks.  ``solve`` finds
+    the pairs of rows from the groups' data and sizes."""
     group, block = table.column("group").to_numpy(), table.column("block").to_numpy()
-    node = table.column("node").to_numpy()
-    shingles = table.column("shingles").to_pylist()
+    node, sizes = table.column("node").to_numpy(), table.column("n").to_numpy()
+    data = table.column("data").to_pylist()
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     out: list[tuple[int, int]] = []
     order = np.argsort(group, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-        if len(rows) < 2:
-            continue
-        sets = [np.frombuffer(shingles[r], "<u8") for r in rows]
-        own = block[rows]
-        if i == j:
-            found = linking_pairs(sets, np.arange(len(rows)), None, num, den)
-        else:
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            if not len(left) or not len(right):
-                continue
-            found = linking_pairs(sets, left, right, num, den)
-        out += [(int(node[rows[p]]), int(node[rows[q]])) for p, q in found]
+        left, right = (np.arange(len(rows)), None) if i == j else (np.flatnonzero(block[rows] == i), np.flatnonzero(block[rows] == j))
+        if len(rows) > 1 and len(left) and (right is None or len(right)):
+            out += [(int(node[rows[p]]), int(node[rows[q]])) for p, q in solve([data[r] for r in rows], sizes[rows], left, right)]
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}, schema=_EDGES)
 
 
@@ -333,6 +359,26 @@ def block_ranges(grouped: DataFrame, tile_shingles: int, tile_sets: int) -> Data
     return levels.withColumn("low", F.col("first") - near(-1, F.lag)).withColumn("high", F.col("first") + F.col("blocks") + near(1, F.lead))
 
 
+def laid_out(sized: DataFrame, scratch: Scratch, name: str, buckets: int, tile_shingles: int, tile_sets: int) -> DataFrame:
+    """``sized`` with pack, block, low and high: the tiles of a row are (pack, block with each block of [low, high))."""
+    weights = scratch.table(block_ranges(sized, tile_shingles, tile_sets), f"{name}-weights")
+    small = weights.filter("whole").agg(F.sum("weight")).first()[0] or 0
+    packs = max(4 * buckets, -(-small // (1 << 17)))
+    w = weights.select(F.col("group").alias("weighed"), F.col("level").alias("weighed_level"), "whole", "blocks", "first", "low", "high")
+    placed = sized.join(w, (F.col("group") == F.col("weighed")) & (F.col("level") == F.col("weighed_level")))
+    block = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    pack = F.when(F.col("whole"), F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
+    low, high = (F.when(F.col("whole"), F.lit(n).cast("long")).otherwise(F.col(c)) for n, c in ((0, "low"), (1, "high")))
+    placed = scratch.table(placed.select(*sized.columns, pack.alias("pack"), block.alias("block"), low.alias("tile_low"), high.alias("tile_high")), name)
+    scratch.drop(f"{name}-weights")
+    return placed
+
+
+def tiles_of(placed: DataFrame) -> DataFrame:
+    rows = placed.withColumn("other", F.explode(F.sequence("tile_low", F.col("tile_high") - 1)))
+    return rows.select("pack", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "group", "block", "node", "n", "data")
+
+
 def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int = 8_000_000, tile_shingles: int = 1 << 20, tile_sets: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row: documents link when the Jaccard similarity of
     their sets of k-word shingles is num / den or more; component_id is the smallest id reachable.
@@ -361,42 +407,40 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
 
     posted = scratch.table(post(rows, k, num, den, light_below, (keys, counts), known_from), "posted")
     scratch.drop("totals")
-    members = posted.select("doc_id", "n", "key")
-    classes = members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"))
-    classes = scratch.table(classes, "classes")
-    one = classes.select(F.col("key").alias("class_key"), "node")
-    posts = posted.filter(F.size("posts") > 0).select("doc_id", "key", "posts")
-    mine = posts.join(one, (posts["doc_id"] == one["node"]) & (posts["key"] == one["class_key"]))
-    entries = scratch.table(mine.select("node", F.explode("posts").alias("post")), "entries")
+    members = scratch.table(posted.select("doc_id", "n", "key"), "members")
+    classes = scratch.table(members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
+    one = classes.select(F.col("key").alias("class_key"), F.col("node").alias("class_node"))
+    mine = posted.filter(F.size("posts") > 0).join(one, (F.col("doc_id") == F.col("class_node")) & (F.col("key") == F.col("class_key")))
+    sets = scratch.table(mine.select(F.col("doc_id").alias("node"), "key", "n", "posts", "parities"), "sets")
+    scratch.drop("posted")
+    entries = sets.select("node", F.explode("posts").alias("post"))
     hubs = scratch.table(entries.groupBy("post").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select(F.col("post").alias("hub_post"), "hub"), "hubs")
     stars = entries.join(hubs, entries["post"] == hubs["hub_post"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     groups = connected_components(stars, scratch, "groups").select(F.col("component").alias("group"), F.col("node").alias("grouped_node"))
-    scratch.drop("entries", "hubs")
 
-    # tiles are laid out by the sets' sizes alone; the sets then move to them at once
-    sized = groups.join(classes, F.col("grouped_node") == F.col("node")).select("group", "node", F.col("key").alias("member_key"), "n", size_level(F.col("n"), num, den).alias("level"))
+    # sizes and parities of each group leave few of its pairs; the groups of those are what sets move to
+    sized = groups.join(sets, F.col("grouped_node") == F.col("node")).select("group", "node", "n", F.col("parities").alias("data"), size_level(F.col("n"), num, den).alias("level"))
     sized = scratch.table(sized, "sized")
-    scratch.drop("groups-*")
-    weights = scratch.table(block_ranges(sized, tile_shingles, tile_sets), "weights")
-    small = weights.filter("whole").agg(F.sum("weight")).first()[0] or 0
-    packs = max(4 * buckets, -(-small // (1 << 17)))
-    w = weights.select(F.col("group").alias("weighed"), F.col("level").alias("weighed_level"), "whole", "blocks", "first", "low", "high")
-    placed = sized.join(w, (F.col("group") == F.col("weighed")) & (F.col("level") == F.col("weighed_level")))
-    block = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pack = F.when(F.col("whole"), F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(-1 - F.col("group"))
-    low, high = (F.when(F.col("whole"), F.lit(n).cast("long")).otherwise(F.col(c)) for n, c in ((0, "low"), (1, "high")))
-    placed = scratch.table(placed.select("node", "member_key", "group", pack.alias("pack"), block.alias("block"), low.alias("low"), high.alias("high")), "placed")
-    scratch.drop("sized", "weights")
+    tiles = tiles_of(laid_out(sized, scratch, "rough", buckets, 16 * tile_shingles, tile_sets))
+    bitmaps = lambda rows: [np.frombuffer(x, np.uint8) for x in rows]
+    near = tiles.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, lambda rows, n, a, b: near_pairs(bitmaps(rows), n, a, b, num, den)), "a long, b long")
+    groups = connected_components(near, scratch, "near").select(F.col("component").alias("group"), F.col("node").alias("grouped_node"))
+    scratch.drop("groups-*", "hubs", "sized", "rough")
+
+    sized = groups.join(sets, F.col("grouped_node") == F.col("node")).select("group", "node", F.col("key").alias("member_key"), "n", size_level(F.col("n"), num, den).alias("level"))
+    sized = scratch.table(sized, "sized")
+    scratch.drop("near-*", "sets")
+    placed = laid_out(sized, scratch, "placed", buckets, tile_shingles, tile_sets)
     found = sets_of(rows, k, member_filter(placed, "node"))
     # an id may stand for several texts; the key tells which of them is the member
-    tiled = found.join(placed, (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("member_key"))).withColumn("other", F.explode(F.sequence("low", F.col("high") - 1)))
-    tiled = tiled.select("pack", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "group", "block", "node", "shingles")
-    links = scratch.table(tiled.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, num, den), "a long, b long"), "links")
+    tiles = tiles_of(found.join(placed, (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("member_key"))).withColumnRenamed("shingles", "data"))
+    exact = lambda rows, n, a, b: linking_pairs([np.frombuffer(x, "<u8") for x in rows], a, b, num, den)
+    links = scratch.table(tiles.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, exact), "a long, b long"), "links")
 
     linked = connected_components(links, scratch, "linked").withColumnRenamed("node", "linked_node")
     named = classes.join(linked, classes["node"] == linked["linked_node"], "left").select(F.col("key").alias("class_key"), F.coalesce("component", "node").alias("component"))
     named = scratch.table(named, "named")
-    scratch.drop("classes", "placed", "links", "linked-*")
+    scratch.drop("classes", "sized", "placed", "links", "linked-*")
     joined = members.join(named, members["key"] == named["class_key"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
