@@ -7,6 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from versant.llm.shared import hot_join
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,3 +65,30 @@ def test_clashing_ids_keep_every_distinct_text(spark):
     kept = corpus_pipeline.keep_distinct(spark, docs, FOLDER)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (7, ""), (7, None)], key=str)
+
+
+def test_stages_of_odd_tables(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    text = docs.select("text").first().text
+    odd = [(None, text, 0.123, "a"), (5, text, 0.2, None), (5, text, 0.2, None), (6, None, 0.3, "b"), (7, "", 0.4, "c"), (8, "x " * 50_000, 0.5, "d")]
+    extra = spark.createDataFrame(odd, "doc_id long, text string, score double, lang_pred string")
+    docs = docs.selectExpr("doc_id + 100 AS doc_id", "text", "cast(doc_id AS double) AS score", "'own' AS lang_pred").union(extra)
+    docs = docs.selectExpr("*", "lang_pred AS lang", "'q' AS keep", "'r' AS row_number", "'s' AS `a.b`")
+    before = {tuple(r) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, FOLDER)
+        assert rows.columns == docs.columns and {tuple(r) for r in rows.collect()} <= before
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    kept = sorted(map(tuple, corpus_pipeline.keep_distinct(spark, extra, FOLDER).collect()), key=str)
+    assert kept == sorted([odd[1], *odd[3:]], key=str)
+    assert corpus_pipeline.pack(spark, docs.limit(0), FOLDER).count() == 0
+    pieces = corpus_pipeline.pack(spark, extra, FOLDER).collect()
+    assert sum(r.length for r in pieces if r.doc_id in (6, 7)) == 2
+
+
+def test_hot_join_is_a_left_join(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(3000)] + [(-1, None)], "id long, key string")
+    table = rows.filter("key <> 'k6'").groupBy("key").count().selectExpr("key AS name", "count AS rows", "concat(key, '!') AS value")
+    want = {(r.id, r.value) for r in rows.join(table, rows.key == table.name, "left").collect()}
+    got = hot_join(rows, table, "key", "name", "rows").collect()
+    assert len(got) == 3001 and {(r.id, r.value) for r in got} == want

@@ -72,22 +72,19 @@ def extended(docs: DataFrame, run_columns: list, new_sql: str, schema_new: pa.Sc
     them and a mask of the rows to keep.  New columns replace columns of the same name."""
     names = [f.name for f in schema_new]
     kept = [c for c in docs.columns if c.lower() not in names]
-    n_kept = len(kept)
-    free = "_"
-    while any(c.lower().startswith(free) for c in kept):
-        free += "_"
+    n_kept, n_in = len(kept), len(run_columns)
     quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    given_names = [f"{free}{i}" for i in range(len(run_columns))]
-    inputs = docs.select(*[F.col(quoted(c)) for c in kept], *[c.alias(n) for c, n in zip(run_columns, given_names)])
+    # plain names on the way, as column names may hold dots
+    inputs = docs.select(*[F.col(quoted(c)).alias(f"kept_{i}") for i, c in enumerate(kept)], *[c.alias(f"in_{i}") for i, c in enumerate(run_columns)])
+    out_names = [f"kept_{i}" for i in range(n_kept)] + names
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                given = part.select(given_names)
-                arrays, mask = values(given)
+                arrays, mask = values(part.select(range(n_kept, n_kept + n_in)))
                 made = [pa.array(a, type=f.type) for a, f in zip(arrays, schema_new)]
-                whole = pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*kept, *names])
+                whole = pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=out_names)
                 yield whole if mask is None else whole.filter(pa.array(mask))
 
-    fields = [f"{quoted(f.name)} {f.dataType.simpleString()}" for f in inputs.schema.fields[:n_kept]]
-    return map_arrow(inputs, run, ", ".join([*fields, new_sql] if new_sql else fields))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in inputs.schema.fields[:n_kept]]
+    return map_arrow(inputs, run, ", ".join([*fields, new_sql] if new_sql else fields)).toDF(*kept, *names)

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .arrow_rows import map_arrow, record, slices
 from .components import connected_components
-from .shared import Scratch
+from .shared import Scratch, hot_join
 from .tallies import PACKED, PACKED_SQL, bucket_count, count_histogram, gathered, gathered_short, packed, packed_rows, threshold_for, total_tallies
 from .text_arrays import Lookup, Words, merged_counts, mix, shingle_sets, summed
 
@@ -408,7 +408,7 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     posted = scratch.table(post(rows, k, num, den, light_below, (keys, counts), known_from), "posted")
     scratch.drop("totals")
     members = scratch.table(posted.select("doc_id", "n", "key"), "members")
-    classes = scratch.table(members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.table(members.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "classes")
     one = classes.select(F.col("key").alias("class_key"), F.col("node").alias("class_node"))
     mine = posted.filter(F.size("posts") > 0).join(one, (F.col("doc_id") == F.col("class_node")) & (F.col("key") == F.col("class_key")))
     sets = scratch.table(mine.select(F.col("doc_id").alias("node"), "key", "n", "posts", "parities"), "sets")
@@ -438,9 +438,9 @@ def link_documents(docs: DataFrame, k: int, num: int, den: int, max_known: int =
     links = scratch.table(tiles.groupBy("pack", "i", "j").applyInArrow(lambda t: solve_tile(t, exact), "a long, b long"), "links")
 
     linked = connected_components(links, scratch, "linked").withColumnRenamed("node", "linked_node")
-    named = classes.join(linked, classes["node"] == linked["linked_node"], "left").select(F.col("key").alias("class_key"), F.coalesce("component", "node").alias("component"))
+    named = classes.join(linked, classes["node"] == linked["linked_node"], "left").select(F.col("key").alias("class_key"), F.coalesce("component", "node").alias("component"), "rows")
     named = scratch.table(named, "named")
     scratch.drop("classes", "sized", "placed", "links", "linked-*")
-    joined = members.join(named, members["key"] == named["class_key"], "left")
+    joined = hot_join(members, named, "key", "class_key", "rows")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -81,3 +81,14 @@ def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(modulus))
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, weight: str) -> DataFrame:
+    """Left join of ``rows`` with ``table``, in which ``table_key`` is unique and ``weight`` says how many of
+    ``rows`` have that key.  Keys of a thousandth of the rows or more, a thousand of them at most, go
+    to every task, so no task gets a hot key's rows; the others are joined by a shuffle."""
+    total = rows.count()
+    heavy = F.broadcast(table.filter(F.col(weight) * 1000 >= total))
+    on = F.col(key) == F.col(table_key)
+    rest = rows.join(heavy.select(F.col(table_key)), on, "left_anti").join(table.filter(F.col(weight) * 1000 < total), on, "left")
+    return rows.join(heavy, on).union(rest)
