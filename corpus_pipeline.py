@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versant.llm import decontaminate, jaccard_join, language_id, packing, quality
-from versant.llm.shared import Scratch, id_remainder, read_table
+from versant.llm.shared import Scratch, hot_join, id_remainder, read_table
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ids = numbered.select("row_number", F.col(doc_id).alias("id"))
     grouped = scratch.table(ids.join(links, F.col("row_number") == F.col("linked")).select("row_number", "id", "component_id"), "grouped")
     first = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_number")).alias("first"), F.count("*").alias("rows"))
-    first = first.filter("rows > 1").select(F.col("component_id").alias("group"), F.col("first.row_number").alias("first_row"))
-    copies = grouped.join(first, F.col("component_id") == F.col("group")).filter("row_number <> first_row").select("row_number")
+    first = first.filter("rows > 1").select(F.col("component_id").alias("group"), F.col("first.row_number").alias("first_row"), "rows")
+    first = scratch.table(first.select("group", "first_row", "rows"), "first")
+    copies = hot_join(grouped, first, "component_id", "group", "rows").filter("row_number <> first_row").select("row_number")
     return without_rows(numbered, scratch.table(copies, "copies"), "row_number").drop("row_number").toDF(*docs.columns)
 
 
