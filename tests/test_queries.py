@@ -18,7 +18,7 @@ def rounded(rows):
     return sorted(str([round(float(v), 5) if isinstance(v, float) or type(v).__name__ == "Decimal" else v for v in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) & {"text_normalize", "word_overlap", "multiset_append", "special_types", "low_runs", "drift_zones", "anchors", "anchor_gaps", "overlap_repair", "gap_buffers", "nearest_silence", "asof_before", "asof_after", "interval_overlap", "first_contained_gap", "silence_runs", "speech_chunks", "sessions", "prefer_best", "forward_fill", "indel_similarity"}))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_against_sql(spark, name):
     got = QUERIES[name](spark, FOLDER)
     names = sorted(got.columns)
@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(names)} FROM ({ORACLE_SQL[name]})").fetchall()
-    assert rounded([tuple(r) for r in got.select(*names).collect()]) == rounded(want)
+    assert want and rounded([tuple(r) for r in got.select(*names).collect()]) == rounded(want)
 
 
 def test_entry(spark):
@@ -73,7 +73,7 @@ def test_words_are_whole_and_numbered_apart(spark, tmp_path):
     assert [r.unit for r in rows] == [t for _, t, _, text in turns for _ in text.split()]
 
 
-@pytest.mark.parametrize("name", ["indel_similarity_whole", "indel_native_whole"])
+@pytest.mark.parametrize("name", ["indel_similarity", "indel_native"])
 def test_indel_of_whole_texts(spark, tmp_path, name):
     rng = random.Random(8)
     start = "the same twenty letters and "
@@ -95,15 +95,9 @@ def test_indel_of_whole_texts(spark, tmp_path, name):
     assert any(0.5 < x < 1 for _, x in got)
 
 
-@pytest.mark.parametrize("name", ["word_multiset_whole", "csv_lines_whole", "breath_intervals_whole"])
-def test_no_rows_are_left_out(spark, name):
-    test_against_sql(spark, name)
-    cut = name.removesuffix("_whole")
-    test_against_sql(spark, cut)
-    whole, less = QUERIES[name](spark, FOLDER), QUERIES[cut](spark, FOLDER)
-    assert whole.count() > less.count() and less.exceptAll(whole).count() == 0
-    if name == "csv_lines_whole":
-        assert whole.count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+def test_no_rows_are_left_out(spark):
+    assert QUERIES["csv_lines"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert QUERIES["word_multiset"](spark, FOLDER).filter("n = 1").count() > 0
 
 
 def test_csv_ties_go_away_from_zero(spark):

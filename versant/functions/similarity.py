@@ -100,7 +100,7 @@ def _column(score, a: Column, b: Column) -> Column:
 
 
 def indel(a: Column | str, b: Column | str, normalized: bool = True) -> Column:
-    """Indel ratio; equal texts and texts of which one is empty are settled without leaving the JVM."""
+    """Indel ratio, by an Arrow-batched function that scores each different pair of a batch once."""
     a, b = (T.normalize(a), T.normalize(b)) if normalized else (T._c(a), T._c(b))
     return _column(indel_ratio, a, b)
 

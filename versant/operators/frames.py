@@ -51,9 +51,12 @@ def breath_intervals(silences: DataFrame, start_ms: str, end_ms: str) -> DataFra
     return silences.select("*", s.alias("start_sec"), e.alias("end_sec"), (e - s).alias("duration_sec"), F.lit(True).alias("is_breath_boundary")).drop(start_ms, end_ms)
 
 
-def lowest_frames(frames: DataFrame, key: str, t: str, rms: str, n: int = 3) -> DataFrame:
-    """The n frames of least energy for each key, earlier ones first among equals."""
+def lowest_frames(frames: DataFrame, key: str, t: str, rms: str, n: int = 3, first: float | None = None, last: float | None = None) -> DataFrame:
+    """The n frames of least energy for each key, earlier ones first among equals; only those from
+    ``first`` to ``last``, both included, where given."""
     w = Window.partitionBy(key).orderBy(rms, t)
+    for bound, inside in ((first, F.col(t) >= F.lit(first)), (last, F.col(t) <= F.lit(last))):
+        frames = frames if bound is None else frames.filter(inside)
     return frames.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 

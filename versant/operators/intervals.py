@@ -20,17 +20,29 @@ def _buckets(a: Column, b: Column, width: float) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], slack: float = 0.0, width: float = 60.0, how: str = "inner") -> DataFrame:
     """Rows of one key whose spans overlap strictly once ``slack`` widens the left one.
 
-    A pair that shares several buckets is kept in the first of them.  ``how`` is inner or left_semi.
+    A pair that shares several buckets is kept in the first of them.  ``how`` is inner or left_semi,
+    which gives a row of ``left`` once, however many rows overlap it; repeated rows stay repeated.
     """
     (ls, le), (rs, re) = left_span, right_span
     right = right.withColumnRenamed(key, "_rkey")
     a, b = F.col(ls) - slack, F.col(le) + slack
+    if how == "left_semi":
+        return _once(overlap_join(_counted(left), right.withColumnRenamed("_rkey", key), key, left_span, right_span, slack, width), left.columns)
     dealt_l = left.withColumn("_bucket", _buckets(a, b, width))
     dealt_r = right.withColumn("_rbucket", _buckets(F.col(rs), F.col(re), width))
     first = F.col("_bucket") == F.greatest(F.floor(a / width), F.floor(F.col(rs) / width))
     same = (F.col(key) == F.col("_rkey")) & (F.col("_bucket") == F.col("_rbucket")) & (F.col(rs) < b) & (F.col(re) > a) & first
-    joined = dealt_l.join(dealt_r, same, how)
-    return joined.drop("_bucket", "_rbucket", "_rkey")
+    return dealt_l.join(dealt_r, same).drop("_bucket", "_rbucket", "_rkey")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Each different row once, with how often it occurs."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("_times"))
+
+
+def _once(pairs: DataFrame, columns: list[str]) -> DataFrame:
+    """Counted rows that have a pair, as often as they occur."""
+    return pairs.select(*columns, "_times").distinct().withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*columns)
 
 
 def containment_join(outer: DataFrame, inner: DataFrame, key: str, outer_span: tuple[str, str], inner_span: tuple[str, str], buffer: float = 0.0, width: float = 60.0) -> DataFrame:
@@ -90,12 +102,12 @@ def silence_beside(rows: DataFrame, silences: DataFrame, key: str, start: str, e
 
 
 def near_start(rows: DataFrame, events: DataFrame, key: str, row_id: str, at: str, event: str, tolerance: float = 0.3) -> DataFrame:
-    """Rows that have an event of their key strictly within ``tolerance`` of a time."""
+    """Rows that have an event of their key strictly within ``tolerance`` of a time; repeated rows stay repeated."""
     width = max(4 * tolerance, 1e-3)
-    p = rows.withColumn("_bucket", _buckets(F.col(at) - tolerance, F.col(at) + tolerance, width))
+    p = _counted(rows).withColumn("_bucket", _buckets(F.col(at) - tolerance, F.col(at) + tolerance, width))
     e = events.select(F.col(key).alias("_rkey"), F.col(event).alias("_event")).withColumn("_rbucket", F.floor(F.col("_event") / width))
     same = (F.col(key) == F.col("_rkey")) & (F.col("_bucket") == F.col("_rbucket")) & (F.abs(F.col(at) - F.col("_event")) < tolerance)
-    return p.join(e, same, "left_semi").drop("_bucket").dropDuplicates([key, row_id])
+    return _once(p.join(e, same, "left_semi"), rows.columns)
 
 
 def first_gap_within(pairs: DataFrame, silences: DataFrame, key: str, pair_id: str, a: str, b: str, silence: tuple[str, str], least: float = 0.18, width: float = 60.0) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
-from functools import lru_cache
+from functools import lru_cache, partial
 
 from ..functions.costs import segment_cost_of, span_cost_of
 from ..functions.similarity import indel_ratio, phonetic_text
@@ -591,9 +591,9 @@ def align_sequences(reference: list[str], heard: list[str], accept: float = 0.6)
     return out
 
 
-def align_full(segments: list[Segment], units: list[Unit], silences: Iterable[tuple[float, float]] = (), envelope: Iterable[tuple[float, float]] = (), strategy: str = "auto", quality: float = 0.85, fix_drift: bool = True, snap_energy: bool = True, snap_silence: bool = True, repair: bool = True, min_gap: float = 0.0) -> list[Row]:
-    """A strategy and the steps that mend its result, each behind its flag."""
-    strategies = {"greedy": align_greedy, "dp": align_dp, "hybrid": align_hybrid, "auto": align_hybrid, "words": align_word_level}
+def align_full(segments: list[Segment], units: list[Unit], silences: Iterable[tuple[float, float]] = (), envelope: Iterable[tuple[float, float]] = (), strategy: str = "auto", quality: float = 0.85, fix_drift: bool = True, snap_energy: bool = True, snap_silence: bool = True, repair: bool = True, min_gap: float = 0.0, required: dict[tuple[int, int], list[str]] | None = None) -> list[Row]:
+    """A strategy and the steps that mend its result, each behind its flag; ``required`` is for greedy."""
+    strategies = {"greedy": partial(align_greedy, required=required), "dp": align_dp, "hybrid": align_hybrid, "auto": align_hybrid, "words": align_word_level}
     if strategy not in strategies:
         raise ValueError(f"unknown strategy {strategy!r}: use one of {sorted(strategies)}")
     if not segments or not units:

@@ -3,48 +3,80 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import solve
 
-RESULT = "recording long, unit_no long, start_s double, end_s double, text string, score double, overlap boolean, source string"
+RESULT = "recording long, unit_no long, start_s double, end_s double, text string, score double, overlap boolean, source string, group_id long, words array<struct<word: string, start: double, end: double>>"
+_WORD = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])
+_RESULT = pa.schema([("recording", pa.int64()), ("unit_no", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("score", pa.float64()), ("overlap", pa.bool_()), ("source", pa.string()), ("group_id", pa.int64()), ("words", pa.list_(_WORD))])
+#: Bytes of recordings that a worker is sent at a time, unless the session says otherwise.
+_BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def _rows(pdf: pd.DataFrame, column: str) -> list[tuple[float, float]]:
-    found = pdf[column].iloc[0] if column in pdf and len(pdf) else None
-    return [(x["a"], x["b"]) for x in found] if found is not None else []
+def drop_formulas(segments: DataFrame, key: str, kind: str, first_group: Column) -> DataFrame:
+    """Opening formulas go: both kinds, or istiadha alone where ``first_group`` says that the recording is of
+    group 1, whose text holds the other; a recording of formulas alone keeps its rows."""
+    gone = F.coalesce((F.col(kind) == "istiadha") | (F.col(kind).isin("basmala", "basmalah") & ~first_group), F.lit(False))
+    kept = F.count_if(~F.col("_gone")).over(Window.partitionBy(key))
+    return segments.withColumn("_gone", gone).withColumn("_kept", kept).filter(~F.col("_gone") | (F.col("_kept") == 0)).drop("_gone", "_kept")
 
 
-def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silences: DataFrame | None = None, envelope: DataFrame | None = None, **options) -> DataFrame:
+def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silences: DataFrame | None = None, envelope: DataFrame | None = None, progress: Accumulator | None = None, **options) -> DataFrame:
     """One scored, timed row for each unit of each recording.
 
-    segments: recording, seg_idx, start_s, end_s, text, and kind if formulas are marked; units: recording,
-    unit_no, text; silences: recording, silence_start, silence_end; envelope: recording, t, rms.  The
-    recording is the shuffle key of both sides; recordings without units or segments give no rows.
+    segments: recording, seg_idx, start_s, end_s, text, and if known kind (formulas; ayah where it is missing or
+    null), text_id (0: no unit's text), group_id and words (word, start, end); units: recording, unit_no, text,
+    and group_id (1 where missing or null); silences: recording, silence_start, silence_end; envelope:
+    recording, t, rms.  Group 1's opening formula is part of its text, other groups' are passed over.  Words of
+    the segments come back with the unit that took them.  ``progress`` counts the units that are done.
+    Options are those of ``solve.align_full``; ``required`` maps (group, unit index) to tokens.
+
+    The recording is the shuffle key of both sides; recordings without units or segments give no rows, null
+    recordings neither, and null texts are empty.
     """
-    marked = segments if "kind" in segments.columns else segments.withColumn("kind", F.lit("ayah"))
-    left = marked.select("recording", F.struct("seg_idx", "start_s", "end_s", "text", "kind").alias("s"))
-    grouped = left.groupBy("recording").agg(F.sort_array(F.collect_list("s")).alias("segments"))
-    wanted = units.groupBy(F.col("recording").alias("_r1")).agg(F.sort_array(F.collect_list(F.struct("unit_no", "text"))).alias("units"))
+    spare = {"kind": F.lit("ayah"), "text_id": F.lit(1), "group_id": F.lit(None).cast("int"), "words": F.lit(None).cast("array<struct<word: string, start: double, end: double>>")}
+    given = {c: F.col(c) if c in segments.columns else other for c, other in spare.items()}
+    fields = F.struct("seg_idx", "start_s", "end_s", "text", *[c.alias(n) for n, c in given.items()])
+    grouped = segments.select("recording", fields.alias("s")).groupBy("recording").agg(F.sort_array(F.collect_list("s")).alias("segments"))
+    group = F.col("group_id") if "group_id" in units.columns else F.lit(None).cast("int")
+    wanted = units.groupBy(F.col("recording").alias("_r1")).agg(F.sort_array(F.collect_list(F.struct(F.coalesce(group, F.lit(1)).alias("group_id"), "unit_no", "text"))).alias("units"))
     joined = grouped.join(wanted, F.col("recording") == F.col("_r1")).drop("_r1")
     for name, side, a, b in (("silences", silences, "silence_start", "silence_end"), ("envelope", envelope, "t", "rms")):
-        if side is not None:
-            extra = side.groupBy(F.col("recording").alias("_r2")).agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b")))).alias(name))
-            joined = joined.join(extra, F.col("recording") == F.col("_r2"), "left").drop("_r2")
+        if side is None:
+            joined = joined.withColumn(name, F.lit(None).cast("array<struct<a: double, b: double>>"))
+            continue
+        extra = side.groupBy(F.col("recording").alias("_r2")).agg(F.sort_array(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b")))).alias(name))
+        joined = joined.join(extra, F.col("recording") == F.col("_r2"), "left").drop("_r2")
+    conf = segments.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) is None:
+        conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+
+    def solved(one: dict) -> list[tuple]:
+        wanted = [solve.Unit(int(u["unit_no"]), u["text"] or "", u["group_id"]) for u in one["units"]]
+        parts = []
+        for s in one["segments"]:
+            words = tuple((w["word"], w["start"], w["end"]) for w in s["words"] or ())
+            of_group = wanted[0].group if s["group_id"] is None else s["group_id"]
+            parts.append(solve.Segment(s["text"] or "", s["start_s"], s["end_s"], s["kind"] or "ayah", 1 if s["text_id"] is None else s["text_id"], of_group, words))
+        sides = [[(x["a"], x["b"]) for x in one[n] or ()] for n in ("silences", "envelope")]
+        found = solve.align_full(parts, wanted, *sides, strategy, **options)
+        if progress is not None:
+            progress.add(len(found))
+        word = lambda w: (w.text, w.start, w.end) if isinstance(w, solve.Word) else tuple(w)
+        return [(one["recording"], r.unit.number, r.start, r.end, r.text, r.score, r.overlap, r.source, r.unit.group, [dict(zip(("word", "start", "end"), word(w))) for w in r.words]) for r in found]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for i in range(len(pdf)):
-                one = pdf.iloc[i : i + 1]
-                parts = [solve.Segment(s["text"] or "", s["start_s"], s["end_s"], s["kind"] or "ayah") for s in one["segments"].iloc[0]]
-                wanted = [solve.Unit(int(u["unit_no"]), u["text"] or "") for u in one["units"].iloc[0]]
-                found = solve.align_full(parts, wanted, _rows(one, "silences"), _rows(one, "envelope"), strategy, **options)
-                out += [(one["recording"].iloc[0], r.unit.number, r.start, r.end, r.text, r.score, r.overlap, r.source) for r in found]
-            yield pd.DataFrame(out, columns=["recording", "unit_no", "start_s", "end_s", "text", "score", "overlap", "source"])
-
-    return joined.mapInPandas(run, RESULT)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if out := solved(batch.slice(i, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
+
+    return joined.filter("recording is not null").mapInArrow(run, RESULT)
 
 
 def _per_recording(left: DataFrame, right: DataFrame, left_fields: list[str], right_fields: list[str], solver, schema: str) -> DataFrame:

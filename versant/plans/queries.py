@@ -62,12 +62,11 @@ _PAIRS_SQL = f"""p AS (SELECT conv_id, turn, text AS a, lead(text) OVER (PARTITI
 pairs AS (SELECT conv_id, turn, a, b FROM p WHERE b IS NOT NULL)"""
 
 
-def _pairs(spark, sf, letters: int | None = None):
-    text = F.substring("text", 1, letters) if letters else F.col("text")
+def _pairs(spark, sf):
     rows = table(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     found = rows.withColumn("b", F.lead("text").over(w)).filter("b is not null")
-    return found.select("conv_id", "turn", text.alias("a"), (F.substring("b", 1, letters) if letters else F.col("b")).alias("b"))
+    return found.select("conv_id", "turn", F.col("text").alias("a"), "b")
 
 
 @query(f"""WITH {_PAIRS_SQL}, w AS (SELECT conv_id, turn, {words_sql(normalized_sql('a'))} AS x, {words_sql(normalized_sql('b'))} AS y FROM pairs),
@@ -93,30 +92,13 @@ def multiset_append(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", both["merged"].alias("merged"), both["overlap"].alias("overlap"))
 
 
-@query("""WITH RECURSIVE """ + _PAIRS_SQL + """, s AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn, a) AS id, substr(a, 1, 20) AS a, substr(b, 1, 20) AS b FROM pairs),
-f AS (SELECT id, 0 AS i, list_transform(range(0, length(b) + 1), lambda z: 0) AS r FROM s
-      UNION ALL
-      SELECT f.id, f.i + 1, list_reduce(list_prepend([0], list_transform(range(1, length(s.b) + 1), lambda j: [CASE WHEN substr(s.b, j, 1) = substr(s.a, f.i + 1, 1) THEN f.r[j] + 1 ELSE -1 END, f.r[j + 1]])),
-             lambda d, c: list_append(d, CASE WHEN c[1] >= 0 THEN c[1] ELSE greatest(c[2], d[len(d)]) END))
-      FROM f JOIN s ON f.id = s.id WHERE f.i < length(s.a))
-SELECT conv_id, turn, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0::DOUBLE * r[len(r)] / (length(a) + length(b)) END::DOUBLE AS ratio FROM f JOIN s ON f.id = s.id WHERE f.i = length(s.a)""")
-def indel_similarity(spark, sf):
-    return _pairs(spark, sf, 20).select("conv_id", "turn", similarity.indel("a", "b", normalized=False).alias("ratio"))
-
-
-@query(ORACLE_SQL["indel_similarity"])
-def indel_native(spark, sf):
-    return _pairs(spark, sf, 20).select("conv_id", "turn", similarity.indel_native(F.col("a"), F.col("b")).alias("ratio"))
-
-
 @query()
-def indel_similarity_whole(spark, sf):
-    """``indel_similarity`` without its SQL's cut to 20 characters."""
+def indel_similarity(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", similarity.indel("a", "b", normalized=False).alias("ratio"))
 
 
 @query()
-def indel_native_whole(spark, sf):
+def indel_native(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", similarity.indel_native(F.col("a"), F.col("b")).alias("ratio"))
 
 
@@ -144,6 +126,20 @@ def cost_arithmetic(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id", costs.segment_cost(s, c, F.lit(False)).alias("cost"))
 
 
+@query("""WITH x AS (SELECT event_id, floor(value)::BIGINT / 512.0::DOUBLE AS s, (floor(value)::BIGINT % 64) / 32.0::DOUBLE AS c, (event_id % 25) / 8.0::DOUBLE AS r, (event_id % 9)::DOUBLE AS d, (event_id % 7)::DOUBLE AS e FROM events),
+b AS (SELECT *, 1.0::DOUBLE - s + CASE WHEN c < 0.7 THEN (0.7::DOUBLE - c) * 0.5 WHEN c > 1.3 THEN (c - 1.3::DOUBLE) * 0.3::DOUBLE ELSE 0 END + CASE WHEN s < 0.4 THEN 0.5 * (0.4::DOUBLE - s) / 0.4::DOUBLE ELSE 0 END AS base FROM x)
+SELECT event_id, (CASE WHEN event_id % 50 = 0 THEN 1.5 ELSE greatest(0.0, greatest(0.0, base) + CASE WHEN r < 0.5 THEN (0.5 - r) * 0.4::DOUBLE WHEN r > 2 THEN (r - 2) * 0.2::DOUBLE ELSE 0 END + CASE WHEN d > 0 AND e > 0 THEN 0.15::DOUBLE * power(ln(d / e) / 0.8::DOUBLE, 2) ELSE 0 END) END)::DECIMAL(18,6)::DOUBLE AS cost FROM b""")
+def span_costs(spark, sf):
+    i, v = F.col("event_id"), F.floor("value")
+    cost = costs.span_cost(v / 512.0, (v % 64) / 32.0, (i % 25) / 8.0, (i % 9).cast("double"), (i % 7).cast("double"), i % 50 == 0)
+    return table(spark, sf, "events").select("event_id", cost.cast("decimal(18,6)").cast("double").alias("cost"))
+
+
+@query("SELECT event_id, (CASE WHEN (event_id % 20) / 100.0::DOUBLE < 0.05 THEN 0.05 WHEN event_id % 3 = 0 THEN -0.15 ELSE 0.05 END)::DOUBLE AS bonus FROM events")
+def silence_bonuses(spark, sf):
+    return table(spark, sf, "events").select("event_id", boundaries.silence_bonus((F.col("event_id") % 20) / 100.0, F.col("event_id") % 3 == 0).alias("bonus"))
+
+
 _TYPES_SQL = f"""x AS (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'أَعُوذُ بِاللَّهِ مِنَ الشَّيْطَانِ الرَّجِيمِ' WHEN 1 THEN 'بِسْمِ اللَّهِ الرَّحْمَنِ الرَّحِيمِ' WHEN 2 THEN 'أَعُوذُ بِاللَّهِ مِنَ الشَّيْطَانِ الرَّجِيمِ بسم الله الرحمن الرحيم' ELSE text END AS t, CASE WHEN item_id % 5 = 0 THEN 'basmalah' WHEN item_id % 7 = 0 THEN 'istiadha' ELSE 'ayah' END AS kind FROM benchmark),
 n AS (SELECT *, {normalized_sql('t')} AS p FROM x),
 m AS (SELECT *, regexp_matches(p, '(?:ب\\s*س?م?\\s*)?الله\\s*الرحمن\\s*الرحيم') AS b, regexp_matches(p, '[اأإآٱو]?عوذ\\s*بالله\\s*من\\s*الشيطان\\s*الرجيم') AS i FROM n)"""
@@ -165,9 +161,8 @@ def special_types(spark, sf):
 @query(f"""WITH {_TYPES_SQL}, k AS (SELECT item_id, item_id % 10 AS recording, kind IN ('istiadha', 'basmalah') AS gone FROM m)
 SELECT item_id, recording FROM (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY recording) AS kept FROM k) WHERE NOT gone OR kept = 0""")
 def special_filter(spark, sf):
-    rows = _typed(spark, sf).select("item_id", (F.col("item_id") % 10).alias("recording"), F.col("kind").isin("istiadha", "basmalah").alias("gone"))
-    kept = F.count_if(~F.col("gone")).over(Window.partitionBy("recording"))
-    return rows.withColumn("kept", kept).filter(~F.col("gone") | (F.col("kept") == 0)).select("item_id", "recording")
+    rows = _typed(spark, sf).select("item_id", (F.col("item_id") % 10).alias("recording"), "kind")
+    return alignment.drop_formulas(rows, "recording", "kind", F.lit(False)).select("item_id", "recording")
 
 
 @query("""WITH x AS (SELECT doc_id, '/data/reciter_' || source || '/set.v2/' || lpad((doc_id % 200)::VARCHAR, 3, '0') || '_take9.mp3' AS path FROM documents),
@@ -228,8 +223,20 @@ def batch_rollup(spark, sf):
 
 @query("SELECT event_type, count(*) AS n, round((sum(value::DECIMAL(18,2)) / count(*))::DECIMAL(18,9), 4)::DOUBLE AS avg_value, count(*) FILTER (value >= 400) AS n_high FROM events GROUP BY event_type")
 def strategy_compare(spark, sf):
-    mean = F.sum(F.col("value").cast("decimal(18,2)")) / F.count("*")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(mean, 4).cast("double").alias("avg_value"), F.count_if(F.col("value") >= 400).alias("n_high"))
+    return report.compare_strategies(table(spark, sf, "events"), "event_type", "value", 400)
+
+
+@query("""WITH a AS (SELECT user_id, event_type, round((sum(value::DECIMAL(18,2)) / count(*))::DECIMAL(18,9), 4)::DOUBLE AS score FROM events GROUP BY ALL)
+SELECT user_id, arg_min(event_type, {'a': -score, 'b': event_type}) AS best, arg_min(event_type, {'a': score, 'b': event_type}) AS worst, max(score) AS best_score, min(score) AS worst_score FROM a GROUP BY user_id""")
+def strategy_extremes(spark, sf):
+    mean = F.round(F.sum(F.col("value").cast("decimal(18,2)")) / F.count("*"), 4).cast("double").alias("score")
+    return report.best_and_worst(table(spark, sf, "events").groupBy("user_id", "event_type").agg(mean), ["user_id"], "event_type", "score")
+
+
+@query(f"WITH {SILENCES_SQL} SELECT user_id, count(*) AS n_silences, (sum(floor(silence_end * 1000)::BIGINT - floor(silence_start * 1000)::BIGINT) / 1000.0::DOUBLE)::DOUBLE AS total_silence FROM sil GROUP BY user_id")
+def total_silence(spark, sf):
+    ms = silences(spark, sf).select("user_id", F.floor(F.col("silence_start") * 1000).alias("a"), F.floor(F.col("silence_end") * 1000).alias("b"))
+    return report.total_silence(ms, "user_id", "a", "b")
 
 
 @query(f"""WITH {RESULTS_SQL}, nxt AS (SELECT user_id, unit_no, score, lead(score) OVER (PARTITION BY user_id ORDER BY unit_no) AS new FROM res)
@@ -267,15 +274,8 @@ def label_confidence(spark, sf):
     return joined.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.round(F.sum("n_chars") / F.count("*"), 2).alias("avg_chars"))
 
 
-@query(f"""WITH {RESULTS_SQL} SELECT user_id, unit_no, unit_no::VARCHAR || ',' || printf('%.2f', start_s) || ',' || printf('%.2f', end_s) || ',"' || replace('a "b", c', '"', '""') || '"' AS line FROM res WHERE (start_s * 128)::BIGINT % 32 <> 16 AND (end_s * 128)::BIGINT % 32 <> 16""")
-def csv_lines(spark, sf):
-    rows = results(spark, sf).filter("cast(start_s * 128 as long) % 32 <> 16 and cast(end_s * 128 as long) % 32 <> 16").withColumn("text", F.lit('a "b", c'))
-    return rows.select("user_id", "unit_no", report.csv_line("unit_no", "start_s", "end_s", "text").alias("line"))
-
-
 @query(f"""WITH {RESULTS_SQL} SELECT user_id, unit_no, unit_no::VARCHAR || ',' || start_s::DECIMAL(18,2)::VARCHAR || ',' || end_s::DECIMAL(18,2)::VARCHAR || ',"' || replace('a "b", c', '"', '""') || '"' AS line FROM res""")
-def csv_lines_whole(spark, sf):
-    """``csv_lines`` with the rows on rounding ties, which its SQL leaves out."""
+def csv_lines(spark, sf):
     rows = results(spark, sf).withColumn("text", F.lit('a "b", c'))
     return rows.select("user_id", "unit_no", report.csv_line("unit_no", "start_s", "end_s", "text").alias("line"))
 
@@ -298,15 +298,8 @@ def unit_confidence(spark, sf):
     return report.unit_confidence(rows, ["recording", "role"], "seg_idx", "size", "start_s", "end_s")
 
 
-@query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 2 >= 0) GROUP BY ALL HAVING count(*) >= 20")
-def word_multiset(spark, sf):
-    ws = F.filter(F.split(F.lower("text"), "[ \\n\\t\\r]+"), lambda x: x != "")
-    return table(spark, sf, "documents").select("doc_id", F.explode(ws).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n")).filter("n >= 20")
-
-
 @query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\n\\t\\r]+'), lambda x: x <> '')) AS w FROM documents) GROUP BY ALL")
-def word_multiset_whole(spark, sf):
-    """``word_multiset`` with the words that occur fewer than 20 times, which its SQL leaves out."""
+def word_multiset(spark, sf):
     ws = F.filter(F.split(F.lower("text"), "[ \\n\\t\\r]+"), lambda x: x != "")
     return table(spark, sf, "documents").select("doc_id", F.explode(ws).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
@@ -354,20 +347,20 @@ def combined_runs(spark, sf):
     return runs.combined_runs(results(spark, sf), "user_id", "unit_no", "score", "start_s", "end_s", "n_words")
 
 
-_ANCHOR_SQL = RESULTS_SQL + """, a AS (SELECT *, unit_no - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n, lag(score) OVER w AS ps, lag(end_s) OVER w AS pe, lead(score) OVER w AS ns, lead(start_s) OVER w AS nb FROM res WINDOW w AS (PARTITION BY user_id ORDER BY unit_no)),
-k AS (SELECT * FROM a WHERE score >= 0.5 AND n_words / (end_s - start_s) BETWEEN 0.5 AND 4.0 AND (n <= 2 OR ((ps IS NULL OR (ps >= 0.5 AND pe <= start_s + 1)) AND (ns IS NULL OR (ns >= 0.5 AND nb >= end_s - 1)))))"""
+_ANCHOR_SQL = RESULTS_SQL + """, a AS (SELECT *, unit_no - 1 AS idx, count(*) OVER (PARTITION BY user_id) AS n, lag(score) OVER w AS ps, lag(end_s) OVER w AS pe, lead(score) OVER w AS ns, lead(start_s) OVER w AS nb FROM (SELECT * REPLACE (score * 8 AS score) FROM res) WINDOW w AS (PARTITION BY user_id ORDER BY unit_no)),
+k AS (SELECT * FROM a WHERE score >= 0.5 AND n_words / (end_s - start_s) BETWEEN 0.2 AND 8.0 AND (n <= 2 OR ((ps IS NULL OR (ps >= 0.5 AND pe <= start_s + 1)) AND (ns IS NULL OR (ns >= 0.5 AND nb >= end_s - 1)))))"""
 
 
 @query(f"WITH {_ANCHOR_SQL} SELECT user_id, unit_no, idx::INTEGER AS idx FROM k")
 def anchors(spark, sf):
-    return runs.anchors(results(spark, sf), "user_id", "unit_no", "score", "start_s", "end_s", "n_words", 0.5, 0.5, 4.0).select("user_id", "unit_no", "idx")
+    return runs.anchors(results(spark, sf).withColumn("score", F.col("score") * 8), "user_id", "unit_no", "score", "start_s", "end_s", "n_words", 0.5, 0.2, 8.0).select("user_id", "unit_no", "idx")
 
 
 @query(f"""WITH {_ANCHOR_SQL}, g AS (SELECT user_id, idx, n, lead(idx) OVER (PARTITION BY user_id ORDER BY idx) AS nx, count(*) OVER (PARTITION BY user_id) AS c FROM k)
 SELECT user_id, (idx + 1)::INTEGER AS gap_start, coalesce(nx, n)::BIGINT AS gap_end FROM g WHERE c >= 2 AND coalesce(nx, n) - idx - 1 >= 3""")
 def anchor_gaps(spark, sf):
-    rows = results(spark, sf)
-    found = runs.anchors(rows, "user_id", "unit_no", "score", "start_s", "end_s", "n_words", 0.5, 0.5, 4.0)
+    rows = results(spark, sf).withColumn("score", F.col("score") * 8)
+    found = runs.anchors(rows, "user_id", "unit_no", "score", "start_s", "end_s", "n_words", 0.5, 0.2, 8.0)
     return runs.anchor_gaps(found, rows.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
 
 
@@ -396,13 +389,11 @@ def gap_buffers(spark, sf):
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q FROM lineitem),
 y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, q) AS line FROM x)
-SELECT l_orderkey, line, (64.0::DOUBLE * ((sum(q) OVER r - q) / sum(q) OVER (PARTITION BY l_orderkey)::DOUBLE))::DECIMAL(12,4)::DOUBLE AS share_from, (64.0::DOUBLE * (sum(q) OVER r / sum(q) OVER (PARTITION BY l_orderkey)::DOUBLE))::DECIMAL(12,4)::DOUBLE AS share_to FROM y WINDOW r AS (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING)""")
+SELECT l_orderkey, line, round(2.0::DOUBLE + 64.0::DOUBLE * ((sum(q) OVER r - q) / sum(q) OVER (PARTITION BY l_orderkey)::DOUBLE), 2) AS alloc_start, round(2.0::DOUBLE + 64.0::DOUBLE * (sum(q) OVER r / sum(q) OVER (PARTITION BY l_orderkey)::DOUBLE), 2) AS alloc_end FROM y WINDOW r AS (PARTITION BY l_orderkey ORDER BY line ROWS UNBOUNDED PRECEDING)""")
 def proportional_split(spark, sf):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "q")
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")).withColumn("line", F.row_number().over(w).cast("long"))
-    run = Window.partitionBy("l_orderkey").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total, upto = F.sum("q").over(Window.partitionBy("l_orderkey")), F.sum("q").over(run)
-    return rows.select("l_orderkey", "line", (64.0 * ((upto - F.col("q")) / total)).cast("decimal(12,4)").cast("double").alias("share_from"), (64.0 * (upto / total)).cast("decimal(12,4)").cast("double").alias("share_to"))
+    return boundaries.proportional_times(rows, ["l_orderkey"], ["line"], "q", F.lit(2.0), F.lit(64.0)).select("l_orderkey", "line", "alloc_start", "alloc_end")
 
 
 @query(f"""WITH {SEGMENTS_SQL}, w AS (SELECT recording, seg_idx, start_s, end_s, {words_sql('text')} AS ws FROM seg), u AS (SELECT *, unnest(range(0, len(ws))) AS i FROM w)
@@ -480,7 +471,21 @@ def first_contained_gap(spark, sf):
 def run_comparison(spark, sf):
     rows = results(spark, sf)
     other = rows.filter("event_id % 3 <> 1").select("user_id", "unit_no", (F.col("start_s") + 0.25).alias("other"))
-    return rows.join(other, ["user_id", "unit_no"]).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("start_s") - F.col("other")) < 0.5).alias("n_close"))
+    return report.compare_runs(rows, other, ["user_id", "unit_no"], "user_id", "start_s", "other")
+
+
+@query(f"WITH {SILENCES_SQL} SELECT r.user_id, unit_no FROM res r WHERE EXISTS (SELECT 1 FROM sil s WHERE s.user_id = r.user_id AND silence_start < end_s AND silence_end > start_s)")
+def interval_semi(spark, sf):
+    found = intervals.overlap_join(results(spark, sf), silences(spark, sf), "user_id", ("start_s", "end_s"), ("silence_start", "silence_end"), how="left_semi")
+    return found.select("user_id", "unit_no")
+
+
+@query(f"""WITH {RESULTS_SQL}, x AS (SELECT *, unit_no - 1 AS idx, start_s >= 20 AND end_s <= 200 AND score >= 0.2 AS inside FROM res),
+b AS (SELECT *, min(idx) FILTER (inside) OVER (PARTITION BY user_id) AS lo, max(idx) FILTER (inside) OVER (PARTITION BY user_id) AS hi FROM x) SELECT user_id, unit_no FROM b WHERE idx BETWEEN lo AND hi AND idx BETWEEN 1 AND 40""")
+def contained_slice(spark, sf):
+    rows = results(spark, sf).withColumn("idx", F.col("unit_no") - 1)
+    inside = (F.col("start_s") >= 20) & (F.col("end_s") <= 200) & (F.col("score") >= 0.2)
+    return intervals.contiguous_slice(rows, ["user_id"], "idx", F.lit(1), F.lit(40), inside).select("user_id", "unit_no")
 
 
 # --- frames -----------------------------------------------------------------
@@ -506,6 +511,11 @@ def topk_minima(spark, sf):
     return frames.lowest_frames(frame_rows(spark, sf), "user_id", "t", "rms").select("user_id", "t", "rank")
 
 
+@query(f"WITH {FRAMES_SQL} SELECT user_id, t, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rms, t)::INTEGER AS rank FROM frames WHERE t BETWEEN 2 AND 9) WHERE rank <= 2")
+def topk_minima_within(spark, sf):
+    return frames.lowest_frames(frame_rows(spark, sf), "user_id", "t", "rms", n=2, first=2.0, last=9.0).select("user_id", "t", "rank")
+
+
 @query("""WITH e AS (SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS h, value FROM events), x AS (SELECT user_id, h AS frame_start, value FROM e UNION ALL SELECT user_id, h - INTERVAL '1 hour', value FROM e)
 SELECT user_id, epoch_ms(frame_start) AS frame_ms, sqrt(avg(value * value))::DECIMAL(12,4)::DOUBLE AS rms FROM x GROUP BY ALL""")
 def energy_envelope(spark, sf):
@@ -514,15 +524,8 @@ def energy_envelope(spark, sf):
     return found.select("user_id", F.unix_millis("frame_start").alias("frame_ms"), F.col("rms").cast("decimal(12,4)").cast("double").alias("rms"))
 
 
-@query(f"WITH {SILENCES_SQL} SELECT user_id, silence_id, floor(silence_start * 1000)::BIGINT / 1000.0::DOUBLE AS start_sec, floor(silence_end * 1000)::BIGINT / 1000.0::DOUBLE AS end_sec, true AS is_breath_boundary FROM sil WHERE silence_id % 2 = 0")
-def breath_intervals(spark, sf):
-    ms = silences(spark, sf).filter("silence_id % 2 = 0").select("user_id", "silence_id", F.floor(F.col("silence_start") * 1000).alias("a"), F.floor(F.col("silence_end") * 1000).alias("b"))
-    return frames.breath_intervals(ms, "a", "b").drop("duration_sec")
-
-
 @query(f"WITH {SILENCES_SQL} SELECT user_id, silence_id, floor(silence_start * 1000)::BIGINT / 1000.0::DOUBLE AS start_sec, floor(silence_end * 1000)::BIGINT / 1000.0::DOUBLE AS end_sec, true AS is_breath_boundary FROM sil")
-def breath_intervals_whole(spark, sf):
-    """``breath_intervals`` with the silences of odd ids, which its SQL leaves out."""
+def breath_intervals(spark, sf):
     ms = silences(spark, sf).select("user_id", "silence_id", F.floor(F.col("silence_start") * 1000).alias("a"), F.floor(F.col("silence_end") * 1000).alias("b"))
     return frames.breath_intervals(ms, "a", "b").drop("duration_sec")
 

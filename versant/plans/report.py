@@ -101,5 +101,30 @@ def validated(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
 
 
 def write_batch(documents: DataFrame, path: str, key: str) -> None:
-    """One folder a recording; a recording that fails to render is a row with a status, not a failed job."""
-    documents.write.mode("overwrite").partitionBy(key).text(path) if documents.columns == [key, "value"] else documents.write.mode("overwrite").partitionBy(key).json(path)
+    """One folder a recording: texts where there is nothing but a column ``value`` beside the key, else JSON."""
+    rows = documents.write.mode("overwrite").partitionBy(key)
+    rows.text(path) if documents.columns == [key, "value"] else rows.json(path)
+
+
+def compare_runs(rows: DataFrame, other: DataFrame, keys: list[str], by: str, start: str, other_start: str, near: float = 0.5) -> DataFrame:
+    """Units that two runs share, and how many of them begin within ``near`` seconds of each other."""
+    joined = rows.join(other.select(*keys, other_start), keys)
+    return joined.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col(start) - F.col(other_start)) < near).alias("n_close"))
+
+
+def compare_strategies(rows: DataFrame, strategy: str, score: str, high: float) -> DataFrame:
+    """Rows, mean score and confident rows of each strategy."""
+    mean = F.sum(F.col(score).cast("decimal(18,2)")) / F.count("*")
+    return rows.groupBy(strategy).agg(F.count("*").alias("n"), F.round(mean, 4).cast("double").alias("avg_value"), F.count_if(F.col(score) >= high).alias("n_high"))
+
+
+def best_and_worst(rows: DataFrame, key: list[str], strategy: str, score: str) -> DataFrame:
+    """For each key the strategies with the highest and the lowest score, the first by name among equals."""
+    best = F.min_by(strategy, F.struct(-F.col(score), F.col(strategy)))
+    worst = F.min_by(strategy, F.struct(F.col(score), F.col(strategy)))
+    return rows.groupBy(*key).agg(best.alias("best"), worst.alias("worst"), F.max(score).alias("best_score"), F.min(score).alias("worst_score"))
+
+
+def total_silence(silences: DataFrame, key: str, start_ms: str, end_ms: str) -> DataFrame:
+    """Seconds of silence of each recording, and how many silences."""
+    return silences.groupBy(key).agg(F.count("*").alias("n_silences"), (F.sum(F.col(end_ms) - F.col(start_ms)) / 1000.0).alias("total_silence"))
