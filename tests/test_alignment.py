@@ -1,12 +1,20 @@
 """Alignment of DataFrames: groups, formulas, words, required tokens; joins of intervals; streams and sources."""
 
+import io
 import json
+import math
+import struct
+import wave
 
 import pytest
+from pyspark.sql import functions as F
+
+from versant import cli
+from versant.operators.solve import Unit, Word, align_words
 
 from versant.operators import intervals
-from versant.plans import alignment
-from versant.sources import corpus
+from versant.plans import alignment, report
+from versant.sources import audio, corpus
 from versant.streaming import sessions
 
 SEGMENT = "recording long, seg_idx int, start_s double, end_s double, text string, kind string, group_id int, words array<struct<word: string, start: double, end: double>>"
@@ -89,3 +97,51 @@ def test_streams(spark, tmp_path):
     assert counts == {(1, 2), (1, 1), (2, 1)}  # key 3's session is still open
     energy = {(r.k, r.frame_start.hour): round(r.rms, 6) for r in spark.read.parquet(f"{tmp_path}/f").filter("k = 1").collect()}
     assert energy[1, 0] == pytest.approx(0.5**0.5) and energy[1, 9] == 9.0
+
+
+def test_command_line_keeps_going_when_a_recording_fails(spark, tmp_path):
+    (tmp_path / "corpus.json").write_text(json.dumps({str(g): t for g, t in UNITS.items()}))
+    segments, _ = given(spark)
+    good = segments.filter("recording is not null").toPandas()
+    lines = [json.dumps({"recording": int(r.recording), "seg_idx": int(r.seg_idx), "group_id": int(r.group_id), "start_s": r.start_s, "end_s": r.end_s, "text": r.text, "kind": r.kind}) for r in good.itertuples()]
+    lines.append(json.dumps({"recording": 30, "seg_idx": 0, "group_id": 2, "text": "no times"}))
+    (tmp_path / "seg.json").write_text("\n".join(lines))
+    for form in ("json", "csv", "text"):
+        assert cli.main([f"{tmp_path}/seg.json", f"{tmp_path}/corpus.json", f"{tmp_path}/{form}", "--format", form, "--strategy", "dp"], spark) == 1
+    rows = {r.recording: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()}
+    assert set(rows) == {10, 20} and rows[20]["metadata"]["group_id"] == 2 and rows[20]["metadata"]["generated_at"][:2] == "20"
+    assert [(u["id"], u["unit_no"], u["original_text"], u["overlap_detected"]) for u in rows[20]["results"]] == [(3, 1, UNITS[2][0], False), (4, 2, UNITS[2][1], False)]
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/csv").filter("recording = 10").collect())[0].startswith('1,0.00,')
+    assert spark.read.text(f"{tmp_path}/text").filter("value like 'Unit 1: %s'").count() == 2
+    names = corpus.dimension(corpus.corpus(spark, f"{tmp_path}/corpus.json"), {1: "one"})
+    assert sorted(map(tuple, names.collect())) == [(1, 2, "one"), (2, 2, None)]
+    segments, units = given(spark)
+    named = report.full_document(alignment.align(segments, units, "dp"), units, names, {"reader": F.lit("x")})
+    assert {r.recording: json.loads(r.value)["metadata"].get("group_name") for r in named.collect()} == {10: "one", 20: None}
+
+
+@pytest.mark.parametrize("width,channels", [(1, 1), (2, 2), (3, 1), (4, 1)])
+def test_wav_files_become_frames_and_silences(spark, tmp_path, width, channels):
+    rate, most = 8000, (1 << 8 * width - 1) - 1
+    values = [round(most * (0 if 1 <= t / rate < 2 else 0.5 * math.sin(t))) for t in range(3 * rate)]
+    data = b"".join((bytes([v + 128]) if width == 1 else struct.pack("<q", v)[:width]) * channels for v in values)
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as out:
+        out.setnchannels(channels), out.setsampwidth(width), out.setframerate(rate)
+        out.writeframes(data)
+    (tmp_path / "a.wav").write_bytes(buffer.getvalue())
+    (tmp_path / "b.wav").write_bytes(b"not a recording")
+    found = audio.energy_frames(spark, str(tmp_path))
+    assert [r.path.endswith("b.wav") and r.t is None for r in found.filter("error is not null").collect()] == [True]
+    silence = audio.detect_silences(found).collect()
+    assert len(silence) == 1 and silence[0].silence_start == pytest.approx(1, abs=0.06) and silence[0].silence_end == pytest.approx(2, abs=0.06)
+    speech = sorted((r.chunk_start, r.chunk_end) for r in audio.detect_speech(found).collect())
+    assert [x for r in speech for x in r] == pytest.approx([0, 1, 2, 3], abs=0.06)
+
+
+def test_surroundings_place_repeated_short_units():
+    texts = ["one two three", "go on", "four five six", "go on", "seven eight"]
+    words = [Word(w, i * 0.5, i * 0.5 + 0.4) for i, w in enumerate(" ".join(texts).split())]
+    rows = align_words(words, [Unit(i + 1, t) for i, t in enumerate(texts)])
+    assert [r.text for r in rows] == texts
+    assert align_words(words[:3], [Unit(i, "x") for i in range(9)]) == []

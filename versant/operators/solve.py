@@ -74,6 +74,12 @@ def n_words(text: str) -> int:
     return len(plain(text).split())
 
 
+def pair_overlap(a: str, b: str) -> float:
+    """Jaccard similarity of the letter pairs of two plain texts; 0 where one has none."""
+    x, y = ({t[i : i + 2] for i in range(len(t) - 1)} for t in (a, b))
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
 def coverage(text: str, unit: str) -> float:
     return n_words(text) / n_words(unit) if n_words(unit) else 0.0
 
@@ -425,6 +431,16 @@ def align_words(words: list[Word], units: list[Unit], silences: Iterable[tuple[f
         a, b = words[i - 1].end, words[i].start
         bonus[i] = 0.05 if b - a < 0.05 else -0.15 if any(s < b and e > a for s, e in silences) else 0.05
 
+    def fit_around(first: int, last: int, j: int) -> float:
+        """How well the words before and after a span go with the units before and after, as far as there are any."""
+        sides = []
+        if j and first >= 2:
+            sides.append((words[max(0, first - sizes[j]) : first], units[j - 1]))
+        if j + 1 < len(units) and last + 2 <= len(words):
+            sides.append((words[last : last + sizes[j + 1]], units[j + 1]))
+        fits = [pair_overlap(text, plain(unit.text)) for span, unit in sides if (text := " ".join(w.plain for w in span))]
+        return sum(fits) / len(fits) if fits else 0.0
+
     def price(first: int, last: int, j: int) -> float:
         span = words[first:last]
         mine, wanted = {w.plain for w in span}, set(plain(units[j].text).split())
@@ -433,28 +449,41 @@ def align_words(words: list[Word], units: list[Unit], silences: Iterable[tuple[f
         text = " ".join(w.text for w in span)
         s = likeness(text, units[j].text)
         phonetic = phonetic_text(plain(text), plain(units[j].text)) if 0.4 <= s <= 0.85 else 0.0
-        return span_cost_of(s, phonetic, coverage(text, units[j].text), (last - first) / sizes[j], span[-1].end - span[0].start, sizes[j] * pace)
+        found = span_cost_of(s, phonetic, coverage(text, units[j].text), (last - first) / sizes[j], span[-1].end - span[0].start, sizes[j] * pace)
+        found += bonus[last]
+        # short units repeat, so their surroundings count too
+        return max(0.0, found - 0.35 * fit_around(first, last, j)) if sizes[j] <= 8 and found < 1.0 else found
 
-    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    states: dict[int, float] = {0: 0.0}
+    came: list[dict[int, int]] = []
     before = 0
     for j, size in enumerate(sizes):
         low, high = max(1, int(0.3 * size)), max(int(ratio * size), 3)
         before += size
-        middle, slack = before * scale, max(0.05 * len(words), 2 * high)
-        fresh: dict[int, tuple[float, tuple]] = {}
-        for at, (total, path) in states.items():
-            for last in range(at + low, min(at + high, len(words)) + 1):
-                if abs(last - middle) > slack:
+        middle, slack = int(before * scale), max(int(0.05 * len(words)), 2 * high)
+        # one word at least stays for each unit that follows
+        first_end, last_end = max(j + 1, middle - slack), min(len(words) - (len(units) - j - 1) + 1, middle + slack, len(words))
+        fresh: dict[int, float] = {}
+        back: dict[int, int] = {}
+        for at, total in states.items():
+            for last in range(max(at + low, first_end), min(at + high, last_end) + 1):
+                if last in fresh and total >= fresh[last]:
                     continue
-                new = total + price(at, last, j) + bonus[last] * (last < len(words))
-                if last not in fresh or new < fresh[last][0]:
-                    fresh[last] = new, (*path, (at, last))
+                new = total + price(at, last, j)
+                if last not in fresh or new < fresh[last]:
+                    fresh[last], back[last] = new, at
         if not fresh:
             return []
-        ranked = sorted(fresh.items(), key=lambda x: (x[1][0], x[0]))
-        near = sum(v[0] <= ranked[0][1][0] * 1.2 + 0.1 for _, v in ranked)
+        ranked = sorted(fresh.items(), key=lambda x: (x[1], x[0]))
+        near = sum(v < ranked[0][1] * 1.2 + 0.1 for _, v in ranked)
         states = dict(ranked[: 3 * beam if near > 0.6 * beam else beam])
-    path = min(states.items(), key=lambda x: (x[1][0], x[0]))[1][1]
+        came.append(back)
+    at = min(states, key=lambda x: (states[x], x))
+    path = []
+    for back in reversed(came):
+        path.append((back[at], at))
+        at = back[at]
+    path.reverse()
     out = []
     for unit, (a, b) in zip(units, path):
         text = " ".join(w.text for w in words[a:b])

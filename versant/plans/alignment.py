@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import solve
 
-RESULT = "recording long, unit_no long, start_s double, end_s double, text string, score double, overlap boolean, source string, group_id long, words array<struct<word: string, start: double, end: double>>"
+RESULT = "recording long, unit_no long, start_s double, end_s double, text string, score double, overlap boolean, source string, group_id long, words array<struct<word: string, start: double, end: double>>, error string"
 _WORD = pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())])
-_RESULT = pa.schema([("recording", pa.int64()), ("unit_no", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("score", pa.float64()), ("overlap", pa.bool_()), ("source", pa.string()), ("group_id", pa.int64()), ("words", pa.list_(_WORD))])
+_RESULT = pa.schema([("recording", pa.int64()), ("unit_no", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("text", pa.string()), ("score", pa.float64()), ("overlap", pa.bool_()), ("source", pa.string()), ("group_id", pa.int64()), ("words", pa.list_(_WORD)), ("error", pa.string())])
 #: Bytes of recordings that a worker is sent at a time, unless the session says otherwise.
 _BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -26,7 +26,7 @@ def drop_formulas(segments: DataFrame, key: str, kind: str, first_group: Column)
     return segments.withColumn("_gone", gone).withColumn("_kept", kept).filter(~F.col("_gone") | (F.col("_kept") == 0)).drop("_gone", "_kept")
 
 
-def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silences: DataFrame | None = None, envelope: DataFrame | None = None, progress: Accumulator | None = None, **options) -> DataFrame:
+def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silences: DataFrame | None = None, envelope: DataFrame | None = None, progress: Accumulator | None = None, isolate: bool = False, **options) -> DataFrame:
     """One scored, timed row for each unit of each recording.
 
     segments: recording, seg_idx, start_s, end_s, text, and if known kind (formulas; ayah where it is missing or
@@ -34,10 +34,12 @@ def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silence
     and group_id (1 where missing or null); silences: recording, silence_start, silence_end; envelope:
     recording, t, rms.  Group 1's opening formula is part of its text, other groups' are passed over.  Words of
     the segments come back with the unit that took them.  ``progress`` counts the units that are done.
+    With ``isolate`` a recording that can't be aligned is one row with the reason as ``error`` and no unit,
+    and the others are aligned; without it, the error ends the job.
     Options are those of ``solve.align_full``; ``required`` maps (group, unit index) to tokens.
 
     The recording is the shuffle key of both sides; recordings without units or segments give no rows, null
-    recordings neither, and null texts are empty.
+    recordings neither; null texts are empty, and null times an error of their recording.
     """
     spare = {"kind": F.lit("ayah"), "text_id": F.lit(1), "group_id": F.lit(None).cast("int"), "words": F.lit(None).cast("array<struct<word: string, start: double, end: double>>")}
     given = {c: F.col(c) if c in segments.columns else other for c, other in spare.items()}
@@ -60,6 +62,8 @@ def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silence
         wanted = [solve.Unit(int(u["unit_no"]), u["text"] or "", u["group_id"]) for u in one["units"]]
         parts = []
         for s in one["segments"]:
+            if s["start_s"] is None or s["end_s"] is None:
+                raise ValueError(f"segment {s['seg_idx']} of recording {one['recording']} has no time")
             words = tuple((w["word"], w["start"], w["end"]) for w in s["words"] or ())
             of_group = wanted[0].group if s["group_id"] is None else s["group_id"]
             parts.append(solve.Segment(s["text"] or "", s["start_s"], s["end_s"], s["kind"] or "ayah", 1 if s["text_id"] is None else s["text_id"], of_group, words))
@@ -68,12 +72,19 @@ def align(segments: DataFrame, units: DataFrame, strategy: str = "auto", silence
         if progress is not None:
             progress.add(len(found))
         word = lambda w: (w.text, w.start, w.end) if isinstance(w, solve.Word) else tuple(w)
-        return [(one["recording"], r.unit.number, r.start, r.end, r.text, r.score, r.overlap, r.source, r.unit.group, [dict(zip(("word", "start", "end"), word(w))) for w in r.words]) for r in found]
+        return [(one["recording"], r.unit.number, r.start, r.end, r.text, r.score, r.overlap, r.source, r.unit.group, [dict(zip(("word", "start", "end"), word(w))) for w in r.words], None) for r in found]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                if out := solved(batch.slice(i, 1).to_pylist()[0]):
+                one = batch.slice(i, 1).to_pylist()[0]
+                try:
+                    out = solved(one)
+                except Exception as wrong:
+                    if not isolate:
+                        raise
+                    out = [(one["recording"], *[None] * (len(_RESULT) - 2), f"{type(wrong).__name__}: {wrong}")]
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _RESULT)], schema=_RESULT)
 
     return joined.filter("recording is not null").mapInArrow(run, RESULT)

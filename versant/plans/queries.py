@@ -280,7 +280,9 @@ def csv_lines(spark, sf):
     return rows.select("user_id", "unit_no", report.csv_line("unit_no", "start_s", "end_s", "text").alias("line"))
 
 
-@query()
+@query(f"""WITH {RESULTS_SQL}, f AS (SELECT user_id, unit_no, unit_no - 1 AS unit_index, round(start_s, 2) AS start_time, round(end_s, 2) AS end_time, round(end_s - start_s, 2) AS duration, round(score, 3) AS similarity_score, score >= 0.8 AS is_high_confidence FROM res)
+SELECT user_id, to_json({{'metadata': {{'total_units': count(*), 'total_duration': sum(duration::DECIMAL(18,2))::DOUBLE, 'avg_similarity': round((sum(similarity_score::DECIMAL(18,3)) / count(*))::DECIMAL(18,9), 3)::DOUBLE, 'high_confidence': count(*) FILTER (is_high_confidence)}},
+'results': list({{'unit_index': unit_index, 'start_time': start_time, 'end_time': end_time, 'duration': duration, 'similarity_score': similarity_score, 'is_high_confidence': is_high_confidence}} ORDER BY unit_no)}})::VARCHAR AS document FROM f GROUP BY user_id""")
 def json_documents(spark, sf):
     return report.document(report.format_results(results(spark, sf)), "user_id", "unit_no")
 

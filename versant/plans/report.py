@@ -93,6 +93,25 @@ def document(formatted: DataFrame, key: str, order: str) -> DataFrame:
     return joined.select(key, F.to_json(F.struct(about.alias("metadata"), results.alias("results"))).alias("document"))
 
 
+def full_document(aligned: DataFrame, units: DataFrame, names: DataFrame | None = None, about: dict[str, Column] | None = None) -> DataFrame:
+    """recording and its whole JSON document, from what ``align`` returns: about the run (``about`` and the
+    time of making, as ISO text), group and its name, totals; of each unit id, group, number, times, score,
+    texts, overlap and words.  ``units``: recording, unit_no, text and id if known; ``names``: group_id, name.
+    Fields without a value are left out.  Rows of recordings that couldn't be aligned are passed over."""
+    known = units.select("recording", "unit_no", F.col("text").alias("original_text"), *([c] if (c := "id") in units.columns else []))
+    rows = format_results(aligned.filter("error is null").withColumnRenamed("text", "transcribed_text").join(known, ["recording", "unit_no"], "left"))
+    fields = [*(["id"] if "id" in known.columns else []), "group_id", "unit_no", "unit_index", "start_time", "end_time", "duration", "transcribed_text", "original_text", "similarity_score", "is_high_confidence", F.col("overlap").alias("overlap_detected"), "words"]
+    unit = F.struct("unit_no", F.struct(*fields).alias("row"))
+    gathered = rows.groupBy("recording").agg(F.sort_array(F.collect_list(unit)).alias("units"), F.min("group_id").alias("group_id"))
+    joined = gathered.join(metadata(rows, "recording"), "recording")
+    if names is not None:
+        joined = joined.join(F.broadcast(names.select(F.col("group_id").alias("_g"), F.col("name").alias("group_name"))), F.col("group_id") == F.col("_g"), "left")
+    made = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("generated_at")
+    group = ["group_id", *(["group_name"] if names is not None else [])]
+    head = F.struct(made, *[c.alias(n) for n, c in (about or {}).items()], *group, "total_units", "total_duration", "avg_similarity", "high_confidence")
+    return joined.select("recording", F.to_json(F.struct(head.alias("metadata"), F.transform("units", lambda u: u["row"]).alias("results"))).alias("value"))
+
+
 def validated(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that keep every rule, rows that break one, with the first broken rule as ``reason``)."""
     reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()])

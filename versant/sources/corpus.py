@@ -40,6 +40,12 @@ def corpus(spark: SparkSession, path: str, edition: str | None = None) -> DataFr
     return numbered.join(bases, F.col("group_id") == F.col("g")).select((F.col("base") + F.col("pos") + 1).alias("id"), "group_id", (F.col("pos") + 1).alias("unit_no"), "text")
 
 
+def dimension(units: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
+    """group_id, name (null if unknown) and n_units of each group; 114 rows at most, so it may be broadcast."""
+    pairs = F.create_map(*[F.lit(x) for pair in (names or {0: ""}).items() for x in pair])
+    return units.groupBy("group_id").agg(F.count("*").alias("n_units")).withColumn("name", F.try_element_at(pairs, F.col("group_id")))
+
+
 def group_units(units: DataFrame, group: int | str) -> DataFrame:
     """Units of one group; "001" is 1; beyond 1 to 114 an error."""
     number = int(group)
