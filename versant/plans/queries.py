@@ -97,11 +97,6 @@ def indel_similarity(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", similarity.indel("a", "b", normalized=False).alias("ratio"))
 
 
-@query()
-def indel_native(spark, sf):
-    return _pairs(spark, sf).select("conv_id", "turn", similarity.indel_native(F.col("a"), F.col("b")).alias("ratio"))
-
-
 @query()
 def phonetic_similarity(spark, sf):
     return _pairs(spark, sf).select("conv_id", "turn", similarity.phonetic("a", "b").alias("phonetic"))
