@@ -10,7 +10,9 @@ import __spark_entry__
 from versant.functions import similarity
 from versant.operators import solve
 from versant.plans import report
-from versant.plans.queries import ORACLE_SQL, QUERIES
+from versant.operators.solve import plain as T_plain
+from versant.plans.queries import ORACLE_SQL, QUERIES, _pairs
+from versant.plans.roles import FRAMES_SQL, RESULTS_SQL, SILENCES_SQL
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -108,3 +110,73 @@ def test_no_rows_are_left_out(spark):
 def test_csv_ties_go_away_from_zero(spark):
     rows = spark.createDataFrame([(1, 0.125, 0.375, "x"), (2, -0.125, 2.5, "x")], "u long, s double, e double, t string")
     assert [r[0] for r in rows.select(report.csv_line("u", "s", "e", "t")).collect()] == ['1,0.13,0.38,"x"', '2,-0.13,2.50,"x"']
+
+
+def timed_rows(con):
+    rows = {}
+    for user, number, start, end in con.sql(f"WITH {RESULTS_SQL} SELECT user_id, unit_no, start_s, end_s FROM res ORDER BY user_id, unit_no").fetchall():
+        rows.setdefault(user, []).append([number, start, end])
+    return rows
+
+
+@pytest.fixture(scope="module")
+def con():
+    found = duckdb.connect()
+    for t in TABLES:
+        found.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    return found
+
+
+def test_snapping_by_definition(spark, con):
+    quiet, energy, want, want_energy = {}, {}, [], []
+    for user, a, b in con.sql(f"WITH {SILENCES_SQL} SELECT user_id, silence_start, silence_end FROM sil ORDER BY ALL").fetchall():
+        quiet.setdefault(user, []).append((a, b))
+    for user, t, rms in con.sql(f"WITH {FRAMES_SQL} SELECT user_id, t * 12, rms FROM frames ORDER BY ALL").fetchall():
+        energy.setdefault(user, []).append((t, rms))
+    for user, rows in timed_rows(con).items():
+        plain, level = [list(r) for r in rows], [list(r) for r in rows]
+        for x, y in zip(plain, plain[1:]):
+            border = (x[2] + y[1]) / 2
+            a, b = min(quiet.get(user, [(1e9, 1e9)]), key=lambda s: abs((s[0] + s[1]) / 2 - border))
+            if abs((a + b) / 2 - border) <= 2 and a > x[1] and b < y[2]:
+                x[2], y[1] = round(a, 2), round(b, 2)
+        for x, y in zip(level, level[1:]):
+            border = (x[2] + y[1]) / 2
+            near = [e for e in energy[user] if abs(e[0] - border) <= 1]
+            t = min(near, key=lambda e: e[1])[0] if near else None
+            if t is not None and x[1] + 0.1 < t < y[2] - 0.1:
+                x[2] = y[1] = round(t, 3)
+        want += [(user, *r) for r in plain]
+        want_energy += [(user, *r) for r in level]
+    assert sorted(map(tuple, QUERIES["snap_silences"](spark, FOLDER).collect())) == sorted(want)
+    assert sorted(map(tuple, QUERIES["snap_energy"](spark, FOLDER).collect())) == sorted(want_energy)
+    assert want != want_energy
+
+
+def test_breaths_are_claimed_once_each(spark, con):
+    quiet, want = {}, []
+    for user, a, b in con.sql(f"WITH {SILENCES_SQL} SELECT user_id, silence_start, silence_end FROM sil ORDER BY ALL").fetchall():
+        quiet.setdefault(user, []).append((a, b))
+    for user, rows in timed_rows(con).items():
+        free = list(quiet.get(user, []))
+        for number, _, end in rows:
+            able = [x for x in free if min(abs(x[0] - end), abs(x[1] - end)) <= 0.8 or x[0] - 0.5 <= end <= x[1] + 0.5]
+            taken = min(able, key=lambda x: (min(abs(x[0] - end), abs(x[1] - end)), free.index(x)), default=None)
+            if taken:
+                free.remove(taken)
+            want.append((user, number, taken[1] - taken[0] if taken else 0.0, taken is not None))
+    got = sorted(map(tuple, QUERIES["claim_breaths"](spark, FOLDER).collect()))
+    assert got == sorted(want) and any(r[3] for r in got) and not all(r[3] for r in got)
+
+
+def test_pair_scores_by_definition(spark):
+    pairs = {(r.conv_id, r.turn): (T_plain(r.a), T_plain(r.b)) for r in _pairs(spark, FOLDER).collect()}
+    phonetic = {(r.conv_id, r.turn): r.phonetic for r in QUERIES["phonetic_similarity"](spark, FOLDER).collect()}
+    borders = {(r.conv_id, r.turn): (r.starts, r.ends) for r in QUERIES["boundary_match"](spark, FOLDER).collect()}
+    assert set(pairs) == set(phonetic) == set(borders)
+    for key, (a, b) in pairs.items():
+        x, y = a.split(), b.split()
+        n = min(3, len(y))
+        assert phonetic[key] == pytest.approx(similarity.phonetic_text(a, b))
+        ends = similarity.indel_ratio(" ".join(x[-n:]), " ".join(y[-n:])) >= 0.6
+        assert borders[key] == (similarity.indel_ratio(" ".join(x[:n]), " ".join(y[:n])) >= 0.6, ends)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -551,9 +552,14 @@ def realign_drift(segments: list[Segment], rows: list[Row], least: int = 4, rati
 def snap_to_silences(rows: list[Row], silences: Iterable[tuple[float, float]], reach: float = 2.0) -> list[Row]:
     """Moves each border to the silence whose middle is nearest, if both sides stay valid."""
     rows, silences = sorted(rows, key=lambda r: r.unit.number), sorted(silences)
+    middles = sorted(((s[0] + s[1]) / 2, n) for n, s in enumerate(silences))
     for i in range(len(rows) - 1):
         border = (rows[i].end + rows[i + 1].start) / 2
-        best = min(silences, key=lambda s: abs((s[0] + s[1]) / 2 - border), default=None)
+        at = bisect_left(middles, (border, -1))
+        beside = [middles[at]] if at < len(middles) else []
+        if at:  # of equal middles before the border, the first
+            beside.append(middles[bisect_left(middles, (middles[at - 1][0], -1))])
+        best = silences[min((abs(m - border), n) for m, n in beside)[1]] if beside else None
         if best and abs((best[0] + best[1]) / 2 - border) <= reach and best[0] > rows[i].start and best[1] < rows[i + 1].end:
             rows[i], rows[i + 1] = replace(rows[i], end=round(best[0], 2)), replace(rows[i + 1], start=round(best[1], 2))
     return rows
@@ -561,10 +567,12 @@ def snap_to_silences(rows: list[Row], silences: Iterable[tuple[float, float]], r
 
 def snap_to_energy(rows: list[Row], envelope: Iterable[tuple[float, float]], reach: float = 1.0) -> list[Row]:
     """Moves each border to the quietest time near it, if both sides stay valid."""
-    rows, envelope = sorted(rows, key=lambda r: r.unit.number), list(envelope)
+    rows, frames = sorted(rows, key=lambda r: r.unit.number), sorted((e[0], n, e[1]) for n, e in enumerate(envelope))
     for i in range(len(rows) - 1):
         border = (rows[i].end + rows[i + 1].start) / 2
-        best = min((e for e in envelope if abs(e[0] - border) <= reach), key=lambda e: e[1], default=None)
+        near = frames[bisect_left(frames, (border - reach - 0.001,)) : bisect_left(frames, (border + reach + 0.001,))]
+        lowest = min(((energy, n, t) for t, n, energy in near if abs(t - border) <= reach), default=None)
+        best = (lowest[2], lowest[0]) if lowest else None
         if best and rows[i].start + 0.1 < best[0] < rows[i + 1].end - 0.1:
             rows[i], rows[i + 1] = replace(rows[i], end=round(best[0], 3)), replace(rows[i + 1], start=round(best[0], 3))
     return rows

@@ -123,11 +123,11 @@ def cost_arithmetic(spark, sf):
 
 @query("""WITH x AS (SELECT event_id, floor(value)::BIGINT / 512.0::DOUBLE AS s, (floor(value)::BIGINT % 64) / 32.0::DOUBLE AS c, (event_id % 25) / 8.0::DOUBLE AS r, (event_id % 9)::DOUBLE AS d, (event_id % 7)::DOUBLE AS e FROM events),
 b AS (SELECT *, 1.0::DOUBLE - s + CASE WHEN c < 0.7 THEN (0.7::DOUBLE - c) * 0.5 WHEN c > 1.3 THEN (c - 1.3::DOUBLE) * 0.3::DOUBLE ELSE 0 END + CASE WHEN s < 0.4 THEN 0.5 * (0.4::DOUBLE - s) / 0.4::DOUBLE ELSE 0 END AS base FROM x)
-SELECT event_id, (CASE WHEN event_id % 50 = 0 THEN 1.5 ELSE greatest(0.0, greatest(0.0, base) + CASE WHEN r < 0.5 THEN (0.5 - r) * 0.4::DOUBLE WHEN r > 2 THEN (r - 2) * 0.2::DOUBLE ELSE 0 END + CASE WHEN d > 0 AND e > 0 THEN 0.15::DOUBLE * power(ln(d / e) / 0.8::DOUBLE, 2) ELSE 0 END) END)::DECIMAL(18,6)::DOUBLE AS cost FROM b""")
+SELECT event_id, (CASE WHEN event_id % 50 = 0 THEN 1.5 ELSE greatest(0.0, greatest(0.0, base) + CASE WHEN r < 0.5 THEN (0.5 - r) * 0.4::DOUBLE WHEN r > 2 THEN (r - 2) * 0.2::DOUBLE ELSE 0 END + CASE WHEN d > 0 AND e > 0 THEN 0.15::DOUBLE * power(ln(d / e) / 0.8::DOUBLE, 2) ELSE 0 END) END)::DECIMAL(20,12)::DOUBLE AS cost FROM b""")
 def span_costs(spark, sf):
     i, v = F.col("event_id"), F.floor("value")
     cost = costs.span_cost(v / 512.0, (v % 64) / 32.0, (i % 25) / 8.0, (i % 9).cast("double"), (i % 7).cast("double"), i % 50 == 0)
-    return table(spark, sf, "events").select("event_id", cost.cast("decimal(18,6)").cast("double").alias("cost"))
+    return table(spark, sf, "events").select("event_id", cost.cast("decimal(20,12)").cast("double").alias("cost"))
 
 
 @query("SELECT event_id, (CASE WHEN (event_id % 20) / 100.0::DOUBLE < 0.05 THEN 0.05 WHEN event_id % 3 = 0 THEN -0.15 ELSE 0.05 END)::DOUBLE AS bonus FROM events")
