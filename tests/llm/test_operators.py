@@ -43,6 +43,37 @@ def test_ids_are_the_librarys(path):
         assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_at_line_feeds_and_marks_with_a_full_cache(path):
+    library, ours, rng = Tokenizer.from_file(path), TextIds(path), random.Random(2)
+    ours._pieces._capacity = 8
+    parts = [*PIECES, *[" ", "\n"] * 8, "Die", "word", "ñu", "x", ",", ".", "'", "'re", "$$$", "\n\n", " \n", "\n ", "\u00a0", "\u2028", "\u0301", "÷"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(ours(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_common_pieces_outlast_a_full_cache(path):
+    ours, asked = TextIds(path), []
+    pieces = ours._pieces
+    model, pieces._capacity = pieces._model, 100
+    pieces._model = type("Asked", (), {"tokenize": lambda self, word: asked.append(word) or model.tokenize(word)})()
+    letters = [chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(2020)]
+    common, rare = letters[:20], letters[20:]
+    for at in range(0, 2000, 50):
+        ours(" ".join(["", *common, *rare[at : at + 50]]))
+    assert len(asked) == 2020  # each word once
+
+
+def test_cache_holds_a_word_once_and_no_pairs_of_lines():
+    words = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(40)]
+    ours = TextIds(BYTE)
+    for word in words:
+        ours(" ".join(["", *[f"{word}\n{other}" for other in words]]))
+    assert len(ours._pieces) + len(ours._pieces._words) <= 3 * len(words) + 1
+
+
 def test_token_counts(spark):
     library = Tokenizer.from_file(BYTE)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_tokens) for r in rank_merge.token_counts(docs_of(spark, TEXTS), BYTE).collect())

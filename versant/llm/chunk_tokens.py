@@ -9,7 +9,8 @@ Where cuts are safe:
 * byte-level tokenizer with the pattern `` ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``:
   before a space that a character other than white space follows.  A run of
   white space gives up its last space to the word after it whether or not that
-  word is there, so both sides are cut alike.
+  word is there, so both sides are cut alike.  The same holds for a line feed
+  that such a character follows.
 * word-level tokenizer that drops white space: at any ASCII white space.
 
 No cut is made before ``<``, as special strings start with it and end the text
@@ -20,7 +21,9 @@ from __future__ import annotations
 
 import gc
 import re
+import struct
 from operator import itemgetter
+from string import punctuation
 
 import regex
 from tokenizers import Tokenizer
@@ -28,6 +31,8 @@ from tokenizers import Tokenizer
 #: A space before one of these characters (or at the end) is not a place to cut.
 _DOUBT = re.compile("[ ](?:[\\x00-\\x20<\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]|$)")
 _CUT = re.compile("[ ](?=[^\\x00-\\x20<\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff])")
+#: A line feed that is not a place to cut.
+_LINE_DOUBT = re.compile("\n(?:[\\x00-\\x20<\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f\\u3000\\ufeff]|\\Z)")
 
 #: Characters whose class and lower case are the same in every Unicode library.
 _PLAIN = re.compile("[!-~ \\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
@@ -64,33 +69,54 @@ def cut_before_spaces(text: str) -> list[str]:
     return text.split(" ") if _surely_plain(text) else _CUT.split(text)
 
 
+def cut_before_white_space(text: str) -> list[str]:
+    """As ``cut_before_spaces``, but where every line feed is a safe cut, also before these; a piece
+    that begins with a line feed has no space before it."""
+    if not _surely_plain(text):
+        return _CUT.split(text)
+    if "\n" in text and _LINE_DOUBT.search(text) is None:
+        text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
 def cut_at_white_space(text: str) -> list[str]:
     """Pieces for the tokenizer that drops white space."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 class PieceIds(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; emptied when full.
+    """piece -> its ids as little-endian unsigned 32-bit integers.  When full it starts anew, and takes
+    over the pieces of the time before as they are met again; the others go when it is full once more.
 
-    For the byte-level tokenizer a piece stands for itself after a space.
+    For the byte-level tokenizer a piece stands for itself after a space, unless it begins with a line feed.
     """
 
-    def __init__(self, path: str, capacity: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, capacity: int = 500_000, longest: int = 64):
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
+        letters = byte_letters()
+        self._letters, self._space = str.maketrans({b: c for b, c in enumerate(letters)}), letters[32]
         self._lower = self._tokenizer.normalizer is not None
         self._pattern = regex.compile(WORD_PATTERN if self._lower else BYTE_PATTERN)
+        self._before: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._capacity, self._longest = capacity, longest
 
+    def _merged(self, word: str) -> bytes:
+        """Ids of one pre-token, by the library's model."""
+        if word.isascii() and word.isprintable():
+            spelt = word.replace(" ", self._space)
+        else:
+            spelt = word.encode().decode("latin-1").translate(self._letters)
+        ids = [t.id for t in self._model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
         if ids is None:
-            spelt = word.encode().decode("latin-1").translate(self._letters)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(spelt)])
-            if len(self._words) >= self._capacity:
+            ids = self._merged(word)
+            if len(self._words) >= self._capacity // 4:
                 self._words.clear()
             if len(word) <= self._longest:
                 self._words[word] = ids
@@ -107,9 +133,27 @@ class PieceIds(dict):
             return self._word(piece)
         return b"".join([self._word(w) for w in self._pattern.findall(piece)])
 
+    def _made(self, piece: str) -> bytes:
+        if piece[:1] == "\n" and not self._lower:
+            return self._word("\n") + self.encode(piece[1:])
+        core = piece.rstrip(punctuation)
+        if core.isalpha() and (core.isascii() or _PLAIN.fullmatch(core) is not None):
+            if len(core) < len(piece):
+                if "<|" not in piece:  # letters and marks, of which neither takes from the other
+                    return self[core] + self._word(piece[len(core) :])
+            elif not self._lower:
+                return self._merged(" " + core)
+            else:
+                low = core.lower()
+                return self._merged(core) if low == core else self[low]
+        return self.encode(piece if self._lower else " " + piece)
+
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece if self._lower else " " + piece)
+        ids = self._before.pop(piece, None)
+        if ids is None:
+            ids = self._made(piece)
         if len(self) >= self._capacity:
+            self._before = dict(self)
             self.clear()
         if len(piece) <= self._longest:
             self[piece] = ids
@@ -136,7 +180,7 @@ class TextIds:
             return b""
         if self._lower:
             return self._of(cut_at_white_space(text))
-        first, *rest = cut_before_spaces(text)
+        first, *rest = cut_before_white_space(text)
         return self._pieces.encode(first) + self._of(rest)
 
     def _of(self, pieces: list[str]) -> bytes:
