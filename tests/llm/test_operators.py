@@ -6,6 +6,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,12 @@ def test_token_store_round_trip(spark):
     assert len(store.get(4)) == 2 and store.get(10**9) == []
 
 
+def test_token_store_writes_shards_alone(spark):
+    store = token_store.write_tokens(docs_of(spark, TEXTS), WORD, end_id=1, shards=3)
+    folder = Path(store.manifest[0]["path"].removeprefix("file://")).parents[1]
+    assert sorted(map(str, (f for f in folder.rglob("*") if f.is_file()))) == sorted(m["path"].removeprefix("file://") for m in store.manifest)
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     assert sorted(token_store.PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))

@@ -249,7 +249,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, width: int | None
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     placed = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     placed = placed.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    manifest = scratch.table(map_arrow(placed, run, "part int, path string, n_docs long, n_ids long, n_null long, first long, last long"), "manifest")
+    manifest = map_arrow(placed, run, "part int, path string, n_docs long, n_ids long, n_null long, first long, last long")  # a row a shard
     found, start = [], 0
     for row in sorted(manifest.collect(), key=lambda r: r.part):
         found.append(row.asDict() | {"start": start})
