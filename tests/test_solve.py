@@ -72,3 +72,35 @@ def test_words_without_a_way_to_all_units_fall_back():
     units = [Unit(1, "a b c d e f g h i j"), Unit(2, "k l m n o p q r s t")]
     rows = solve.align_full([Segment("a b", 0, 1), Segment("k l", 1, 2)], units, strategy="words")
     assert [r.unit.number for r in rows] == [1, 2]
+
+
+def turns_of(n, letters, seed=4):
+    """A recording of n turns, every other one a unit."""
+    rng = random.Random(seed)
+    text = lambda: " ".join("".join(rng.choice("abcdeé.أإ") for _ in range(rng.randint(1, 9))) for _ in range(letters // 6))
+    parts = [Segment(text(), 4.0 * i, 4.0 * i + 3) for i in range(n)]
+    return parts, [Unit(i + 1, s.text) for i, s in enumerate(parts) if i % 2 == 0]
+
+
+def test_runs_of_texts_are_the_cheapest(monkeypatch):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("ab cdé!. أإ\n") for _ in range(rng.choice([0, 1, 3, 10, 40])))
+    for _ in range(300):
+        n, m, most = rng.randint(1, 12), rng.randint(1, 6), rng.choice([1, 2, 3, 6, 8, 14])
+        texts = [text() for _ in range(n)]
+        units = [rng.choice([text(), rng.choice(texts)]) for _ in range(m)]
+        spared = solve.np.array([rng.choice([0.0, 0.15]) for _ in range(n + 1)])
+        monkeypatch.setattr(solve, "_BLOCK", rng.choice([1, 5, 50, 1 << 15]))
+        want = solve.cheapest_runs(n, m, most, lambda a, b, j: solve.cost(" ".join(texts[a:b]), units[j]) - spared[b])  # noqa: B023
+        assert solve.cheapest_text_runs(texts, units, most, spared) == want
+
+
+def test_runs_and_spans_are_not_compared_one_by_one(monkeypatch):
+    calls, known = [], solve.indel_ratio
+    monkeypatch.setattr(solve, "indel_ratio", lambda a, b: calls.append(1) or known(a, b))
+    parts, units = turns_of(40, 60)
+    for strategy in ("dp", "words"):
+        solve.forget()
+        calls.clear()
+        rows = solve.align_full(parts, units, strategy=strategy)
+        assert len(rows) == len(units) and len(calls) < 20 * len(units)
