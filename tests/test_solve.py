@@ -1,6 +1,7 @@
 """Solvers against brute force and by what must hold of any result."""
 
 import random
+import tracemalloc
 
 from versant.operators import solve
 from versant.operators.solve import Row, Segment, Unit
@@ -104,3 +105,35 @@ def test_runs_and_spans_are_not_compared_one_by_one(monkeypatch):
         calls.clear()
         rows = solve.align_full(parts, units, strategy=strategy)
         assert len(rows) == len(units) and len(calls) < 20 * len(units)
+
+
+def test_long_sequences_are_matched_in_little_memory(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    some = [word() for _ in range(300)]
+    heard = [rng.choice(some) for _ in range(3000)]
+    reference = [rng.choice(some) for _ in range(700)]
+    tracemalloc.start()
+    found = solve.align_sequences(reference, heard)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6  # 38 MB with a worth and a total kept for each pair
+    monkeypatch.setattr(solve, "_CELLS", 10_000)
+    assert solve.align_sequences(reference, heard) == found and sum(j is not None for j in found) > 300
+
+
+def test_sequences_are_matched_as_all_pairs_say(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(300):
+        some = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 6))) for _ in range(8)]
+        a, b = [rng.choice(some) for _ in range(rng.randint(0, 12))], [rng.choice(some) for _ in range(rng.randint(0, 20))]
+        worth = [[s if (s := solve.indel_ratio(x, y)) >= 0.6 else -1.0 for y in b] for x in a]
+        best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                best[i][j] = max(best[i - 1][j - 1] + worth[i - 1][j - 1], best[i - 1][j], best[i][j - 1])
+        monkeypatch.setattr(solve, "_CELLS", rng.choice([1, 30, 1 << 21]))
+        monkeypatch.setattr(solve, "_BLOCK", rng.choice([1, 4, 1 << 15]))
+        found = [(i, j) for i, j in enumerate(solve.align_sequences(a, b)) if j is not None]
+        assert all(x[1] < y[1] for x, y in zip(found, found[1:]))
+        assert abs(sum(worth[i][j] for i, j in found) - best[-1][-1]) < 1e-9
