@@ -3,6 +3,8 @@
 import random
 import tracemalloc
 
+import pytest
+
 from versant.operators import solve
 from versant.operators.solve import Row, Segment, Unit
 
@@ -137,3 +139,16 @@ def test_sequences_are_matched_as_all_pairs_say(monkeypatch):
         found = [(i, j) for i, j in enumerate(solve.align_sequences(a, b)) if j is not None]
         assert all(x[1] < y[1] for x, y in zip(found, found[1:]))
         assert abs(sum(worth[i][j] for i, j in found) - best[-1][-1]) < 1e-9
+
+
+@pytest.mark.parametrize("strategy", ["dp", "greedy", "hybrid"])
+def test_texts_of_runs_are_not_kept(strategy):
+    parts, units = turns_of(60, 600)
+    solve.forget()
+    tracemalloc.start()
+    rows = solve.align_full(parts, units, [(s.end, s.end + 0.25) for s in parts], strategy=strategy)
+    most, kept = tracemalloc.get_traced_memory()[1], solve.plain.cache_info().currsize
+    tracemalloc.stop()
+    solve.forget()
+    assert len(rows) == len(units) and kept > 0 == solve.plain.cache_info().currsize
+    assert most < 25e6  # 45 to 71 MB where each run's text is kept
