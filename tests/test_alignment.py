@@ -145,3 +145,13 @@ def test_surroundings_place_repeated_short_units():
     rows = align_words(words, [Unit(i + 1, t) for i, t in enumerate(texts)])
     assert [r.text for r in rows] == texts
     assert align_words(words[:3], [Unit(i, "x") for i in range(9)]) == []
+
+
+def test_recordings_are_sent_in_small_batches(spark, monkeypatch):
+    rows = spark.range(60 * 20).selectExpr("id div 20 as recording", "id % 20 as seg_idx", "double(id) as end_s").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(setting)
+    found = alignment.claim_breaths(rows, rows.selectExpr("recording", "end_s as start_sec", "end_s + 0.5 as end_sec"))
+    assert spark.conf.get(setting, None) == str(4 << 20) and "Pandas" not in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(alignment, "_ROWS", 7)  # rows that a worker gives back at a time
+    assert sorted(r.seg_idx for r in found.collect()) == sorted(list(range(20)) * 60) and found.filter("is_breath_boundary").count() == 1200
