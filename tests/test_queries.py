@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from versant.functions import similarity
-from versant.operators import solve
+from versant.operators import boundaries, solve
 from versant.plans import report
 from versant.operators.solve import plain as T_plain
 from versant.plans.queries import ORACLE_SQL, QUERIES, _pairs
@@ -180,3 +180,13 @@ def test_pair_scores_by_definition(spark):
         assert phonetic[key] == pytest.approx(similarity.phonetic_text(a, b))
         ends = similarity.indel_ratio(" ".join(x[-n:]), " ".join(y[-n:])) >= 0.6
         assert borders[key] == (similarity.indel_ratio(" ".join(x[:n]), " ".join(y[:n])) >= 0.6, ends)
+
+
+def test_gaps_are_closed_alike_in_pieces(spark, monkeypatch):
+    rows = spark.range(203).selectExpr("case when id < 200 then 1 else 2 + id % 3 end as recording", "id as place", "id div 7 as unit", "double(id) * 0.5 as s", "double(id) * 0.5 + (id % 5) / 6d as e")
+    results = []
+    for size in (1, 64, 1000):
+        monkeypatch.setattr(boundaries, "_PIECE", size)
+        results.append(sorted(map(tuple, boundaries.smooth_gaps(rows, "recording", "place", "unit", "s", "e", F.lit(0.0)).collect())))
+    assert results[0] == results[1] == results[2] and sorted(r[1] for r in results[0]) == list(range(203))
+    assert all(a[4] <= b[3] + 1e-9 for a, b in zip(results[0], results[0][1:]) if a[0] == b[0])

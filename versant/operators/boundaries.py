@@ -89,15 +89,19 @@ def silence_bonus(gap: Column, silent: Column) -> Column:
     return F.when(gap < 0.05, 0.05).when(silent, -0.15).otherwise(0.05)
 
 
+#: Words of a key that ``smooth_gaps`` folds at a time.
+_PIECE = 64
+
+
 def smooth_gaps(rows: DataFrame, key: str, order: str, unit: str, start: str, end: str, total: Column) -> DataFrame:
     """Closes gaps between words: at a unit's border as ``apply_buffers`` shares them, inside a unit up to
     0.1 s; words last 0.1 s at least and the last one to ``total``.  Ordered and carried from word to
-    word, so it folds over each key's words."""
+    word, so it folds over each key's words, in pieces, as each step copies the words done in its piece."""
     w = F.struct(F.col(order).alias("o"), F.col(unit).alias("u"), F.col(start).alias("s"), F.col(end).alias("e"))
     gathered = rows.groupBy(key).agg(F.sort_array(F.collect_list(w)).alias("ws"), F.first(total).alias("total"))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+    def step(state: Column, x: Column) -> Column:
+        last = state["last"]
         s = F.greatest(x["s"], last["e"])
         gap = s - last["e"]
         before, after = _shares(gap)
@@ -107,9 +111,15 @@ def smooth_gaps(rows: DataFrame, key: str, order: str, unit: str, start: str, en
         new_start = F.when((gap > 0) & border, s - before).otherwise(F.when(gap > 0, new_end).otherwise(s))
         fresh = F.struct(x["o"].alias("o"), x["u"].alias("u"), new_start.alias("s"), F.greatest(x["e"], new_start + 0.1).alias("e"))
         closed = F.struct(last["o"].alias("o"), last["u"].alias("u"), last["s"].alias("s"), new_end.alias("e"))
-        return F.concat(F.slice(done, 1, F.size(done) - 1), F.array(closed, fresh))
+        return F.struct(state["pieces"].alias("pieces"), F.concat(state["piece"], F.array(closed)).alias("piece"), fresh.alias("last"))
+
+    def piece_done(state: Column) -> Column:
+        return F.struct(F.concat(state["pieces"], F.array(state["piece"])).alias("pieces"), none.alias("piece"), state["last"].alias("last"))
 
-    folded = F.aggregate(F.slice(F.col("ws"), 2, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice(F.col("ws"), 1, 1), step)
+    none = F.slice(F.col("ws"), 1, 0)
+    pieces = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(2), F.size("ws"), F.lit(_PIECE)), lambda i: F.slice(F.col("ws"), i, _PIECE))).otherwise(F.array(none))
+    begun = F.struct(F.array(none).alias("pieces"), none.alias("piece"), F.element_at("ws", 1).alias("last"))
+    folded = F.aggregate(pieces, begun, lambda state, piece: F.aggregate(piece, state, step, piece_done), lambda state: F.concat(F.flatten(state["pieces"]), F.array(state["last"])))
     out = gathered.select(key, F.col("total"), F.posexplode(folded).alias("i", "w"), F.size("ws").alias("n"))
     last_end = F.when(F.col("i") == F.col("n") - 1, F.greatest(F.col("w.e"), F.col("total"))).otherwise(F.col("w.e"))
     return out.select(key, F.col("w.o").alias(order), F.col("w.u").alias(unit), F.col("w.s").alias(start), last_end.alias(end))
